@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "simhash", "bpe")
+MODULES = ("scoring", "quality", "simhash", "urls", "ctph", "bpe", "secrets")
 
 
 def queries() -> dict:
