@@ -5,7 +5,7 @@ has. Each piece gives one of 64 characters. The block size starts where about 64
 while the signature is too short, so that texts of like length have like block sizes. A fingerprint is
 ``block:signature:signature at twice the block``. The last character of a signature covers all that is left of a text.
 Fingerprints compare at equal or neighbouring block sizes: one less the edit distance (insertions and deletions) over
-the summed lengths, and 0 unless the signatures share a run of seven characters (or one holds the other whole).
+the summed lengths, and 0 unless the signatures share a run of seven characters (half the shorter one, if that is less).
 
 The neighbour of a document in descending order of ids comes from one shuffle by id ranges: the largest document of
 each range also goes to the next range above it, and the largest of all to the lowest one. Only ids and range numbers,
@@ -110,7 +110,7 @@ def _score(a: str, b: str) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    run = min(SHARED, len(a), len(b))
+    run = min(SHARED, max(1, min(len(a), len(b)) // 2))
     seen = {a[k : k + run] for k in range(len(a) - run + 1)}
     if not any(b[k : k + run] in seen for k in range(len(b) - run + 1)):
         return 0.0
