@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds decoded at once; one longer text is held alone.
 CHUNK_BYTES = 2 << 20
@@ -32,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``; about as many come from each partition as are needed."""
+    n = df.count()
+    drawn = F.xxhash64(key).bitwiseAND(F.lit((1 << 30) - 1))
+    if n > most:
+        df = df.filter(drawn < int((1 << 30) * min(1.0, 1.2 * most / n)))
+    return df.orderBy(drawn, *df.columns).limit(most)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each; every row is in one slice."""
     for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "quality", "simhash", "urls", "ctph", "bpe", "secrets")
+MODULES = ("scoring", "mixing", "quality", "toxicity", "simhash", "urls", "ctph", "bpe", "secrets")
 
 
 def queries() -> dict:

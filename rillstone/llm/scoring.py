@@ -9,7 +9,7 @@ over the cluster (a bounded table). Scoring normalises exactly: a batched produc
 context. A word outside the classes has the probability of the class times its smoothed share within it, so the
 probabilities of all words sum to one.
 
-Counts of the ``HEAD`` most frequent words are broadcast (that number bounds them), so no frequent word is shuffled by
+Counts of the most frequent words, ``HEAD`` at most, are broadcast (that number bounds them), so no frequent word is shuffled by
 key; all rarer words meet their counts in a join.
 
 Defined results: null and empty texts hold the end alone; a null id counts as the empty string when texts are held out;
@@ -36,8 +36,10 @@ from .common import chunks, cut, read_table, texts_of
 CLASSES, DIMENSION, CONTEXT = 512, 32, 2
 OTHER, END, BEGIN = CLASSES - 2, CLASSES - 1, CLASSES
 HEAD = 65_536
+#: Bins of a doubling of the count; the head is the highest whole bins that hold HEAD words at most.
+BINS = 16
 SMOOTHING = 0.1
-BATCH, NOISE, EPOCHS, RATE, SEED = 2048, 64, 2, 1.0, 7
+BATCH, NOISE, EPOCHS, RATE, SEED = 2048, 64, 1, 1.0, 7
 #: A worker's examples are split no finer than its tokens over this.
 EXAMPLES = 200_000
 #: Distinct trigrams or words that a worker gathers before it trains on them or passes them on.
@@ -235,12 +237,25 @@ def trained(docs: DataFrame, counts: Counts, doc_id: str, text: str) -> Model:
     return Model(matrix)
 
 
+def _bin():
+    return F.floor(F.log2("c") * BINS).cast("int")
+
+
 def corpus_counts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Counts]:
     counts = cut(word_counts(docs, doc_id, text))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     out = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
     n_texts = docs.filter(~out).select(doc_id).count()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # Logarithmic bins of the counts: at most BINS * 64 rows come back, then at most HEAD words.
+    bins = counts.groupBy(_bin().alias("bin")).agg(F.count("*").alias("n")).collect()
+    lowest, taken = None, 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        taken += r["n"]
+        if taken > HEAD:
+            break
+        lowest = r["bin"]
+    head = [] if lowest is None else counts.filter(_bin() >= lowest).collect()
+    head.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     return counts, Counts([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], np.int64), total["n"] + n_texts, n_texts, total["v"] + (n_texts > 0))
 
 
