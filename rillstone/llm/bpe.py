@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, read_table, texts_of
+from .common import chunks, extended, read_table, texts_of
 
 #: Pre-token slices whose ids a worker remembers; beyond it the cache starts anew.
 CACHE_SLICES = 400_000
@@ -315,7 +315,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str | No
             offsets = pa.array([o for _, o in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids, offsets], names=[*keep, "ids", "offsets"])
 
-    return source.mapInArrow(run, source.select(*keep).schema.add("ids", "array<int>").add("offsets", "array<long>"))
+    return source.mapInArrow(run, extended(source.select(*keep).schema, "ids array<int>, offsets array<long>"))
 
 
 def decoded(rows: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker holds decoded at once; one longer text is held alone.
 CHUNK_BYTES = 2 << 20
@@ -67,5 +68,6 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def extended(schema: StructType, ddl: str) -> StructType:
+    """The schema and the fields of a schema string."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -20,7 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, read_table, texts_of
+from .common import chunks, extended, read_table, texts_of
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(x)] for x in texts_of(batch, text)], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), spans], names=[*keep, "spans"])
 
-    return source.mapInArrow(run, source.select(*keep).schema.add("spans", "array<struct<kind:string,start:long,end:long>>"))
+    return source.mapInArrow(run, extended(source.select(*keep).schema, "spans array<struct<kind:string,start:long,end:long>>"))
 
 
 def digested(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -1,8 +1,6 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-The filter has blocks of 256 bits; a URL sets eight bits of one block. It is built by an aggregate over blocks and has
-at most ``MAX_BLOCKS`` blocks (8 MB), whatever the list's length, so broadcasting it is bounded: a longer list only
-lets more false positives through. URLs that the filter rules out never meet the list; possible hits go to an exact
+The filter's size is bounded whatever the list's length (see ``bloom``). URLs that the filter rules out never meet the list; possible hits go to an exact
 hash join with the list, which removes the false positives. Both are DataFrame functions.
 
 Rules: (host, path, verdict). A rule fits its host and all its subdomains if the URL's path starts with the rule's; the
@@ -17,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import cut, read_table
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts whose pages make up the list of the registered query.
 LISTED_HOSTS = r"(^|[.-])(ads?|bets?|casino)([.-]|$)"
-BLOCK_BITS, BITS_A_URL, HASHES, MAX_BLOCKS = 256, 16, 8, 1 << 18
-WORDS = BLOCK_BITS // 64
 
 
 def host_of(url: Column) -> Column:
@@ -52,49 +49,11 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _masks(url: Column) -> list[Column]:
-    """The words of a block that has the URL's eight bits set."""
-    bits = F.xxhash64(url, F.lit("bits"))
-    places = [F.shiftright(bits, 8 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)) for k in range(HASHES)]
-    return [_any_of([F.when(F.shiftright(p, 6) == w, _one_at(p)).otherwise(F.lit(0).cast("long")) for p in places]) for w in range(WORDS)]
-
-
-def _one_at(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _any_of(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out.bitwiseOR(c)
-    return out
-
-
-def bloom(listed: DataFrame, url: str, n: int) -> tuple[DataFrame, int]:
-    """The filter of ``n`` URLs: block and its words; and how many blocks there are."""
-    blocks = 1
-    while blocks < MAX_BLOCKS and blocks * BLOCK_BITS < n * BITS_A_URL:
-        blocks *= 2
-    rows = listed.select(_block(F.col(url), blocks).alias("block"), *(m.alias(f"w{k}") for k, m in enumerate(_masks(F.col(url)))))
-    return rows.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS))), blocks
-
-
-def _block(url: Column, blocks: int) -> Column:
-    return F.xxhash64(url).bitwiseAND(F.lit(blocks - 1)).cast("int")
-
-
 def in_list(rows: DataFrame, url: str, listed: DataFrame, flag: str = "listed") -> DataFrame:
     """``rows`` with a boolean column: whether ``url`` is in the one-column table ``listed``."""
     names = rows.columns
     known = cut(listed.select(F.col(listed.columns[0]).alias("_listed")).filter("_listed IS NOT NULL").distinct())
-    table, blocks = bloom(known, "_listed", known.count())
-    table = table.select(F.col("block").alias("_block"), *(F.col(f"w{k}").alias(f"_w{k}") for k in range(WORDS)))
-    probe = rows.withColumn("_at", _block(F.col(url), blocks))
-    probe = probe.join(F.broadcast(table), probe["_at"] == table["_block"], "left")
-    hit = F.col(url).isNotNull() & F.col("_block").isNotNull()
-    for k, m in enumerate(_masks(F.col(url))):
-        hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
-    probe = probe.select(*names, F.coalesce(hit, F.lit(False)).alias("_hit"))
+    probe = bloom.tested(rows, url, *bloom.built(known, "_listed", known.count()))
     misses = probe.filter(~F.col("_hit")).select(*names, F.lit(False).alias(flag))
     hits = probe.filter("_hit").join(known, F.col(url) == F.col("_listed"), "left").select(*names, F.col("_listed").isNotNull().alias(flag))
     return misses.unionByName(hits)
