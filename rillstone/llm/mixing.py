@@ -30,6 +30,8 @@ WEIGHTS = (0.08, 0.02, 0.85, 0.05)
 MAX_LABELLED, FEATURES, LEAST_TEXTS = 20_000, 128, 20
 #: A word tells of a domain if it is so many times as frequent there as overall; words that are merely absent do not.
 LEAST_LIFT = 3.0
+#: And if its log-likelihood ratio is beyond chance among very many words.
+LEAST_GAIN = 15.0
 STEPS, CLOSE = 30, 1e-6
 #: How strongly rates are held near one, against the targets; more in the pipeline, where a domain may have few labels.
 PULL, PIPELINE_PULL = 1e-4, 0.05
@@ -54,7 +56,7 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fea
     overall = (F.col("n") + 0.5) / (F.lit(total) + 1.0)
     gain = sum((F.lit(n.get(d, 0)) * (rate(d) * F.log(rate(d) / overall) + (1 - rate(d)) * F.log((1 - rate(d)) / (1 - overall))) for d in range(k)), F.lit(0.0))
     lift = F.greatest(*(rate(d) / overall for d in range(k)))
-    best = by_word.withColumn("gain", gain).filter(lift >= LEAST_LIFT).orderBy(F.desc("gain"), "word").limit(features).collect()
+    best = by_word.withColumn("gain", gain).filter((lift >= LEAST_LIFT) & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "word").limit(features).collect()
     prior = [math.log((n.get(d, 0) + 0.5) / (total + 0.5 * k)) if total else 0.0 for d in range(k)]
     words = {}
     for r in best:

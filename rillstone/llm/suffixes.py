@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import chunks, cut, extended, read_table, texts_of
+from .common import chunks, cut, extended, read_table, table, texts_of
 from .ctph import INVERSE, PRIME, _power
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Distinct pieces of a gram that are sorted together; pieces of a collection.
-GROUP, COLLECTION = 500, 1500
+GROUP, COLLECTION = 48, 1500
 CHUNK = 1 << 20
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,10 +77,10 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For each piece: the text's number, where its first window starts, how many windows, hashes of gram and piece."""
+    """For each piece: the text's number, where its first window starts, how many windows, where its anchor lies in it, hashes of gram and piece."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < LENGTH:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     hashes = Hashes(raw)
@@ -99,30 +99,40 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at = anchor[new]
     whole = _mixed(hashes.of(first, first + many + LENGTH - 1) + (at - first).astype(np.uint64) * ODD + many.astype(np.uint64))
     doc = np.searchsorted(ends, first, side="right")
-    return doc, first - (ends - sizes)[doc], many, grams[at].view(np.int64), whole.view(np.int64)
+    return doc, first - (ends - sizes)[doc], many, at - first, grams[at].view(np.int64), whole.view(np.int64)
 
 
-def repeated_windows(pieces: list[bytes], document: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows (piece, window) of all windows that also start earlier. document: an order of documents; start: in it."""
+def repeated_windows(pieces: list[bytes], document: np.ndarray, start: np.ndarray, lead: np.ndarray | None = None) -> np.ndarray:
+    """Rows (piece, window) of all windows that also start earlier. document: an order of documents; start: in it.
+
+    With ``lead``, the place of each piece's anchor, equal windows lie at equal distances from their anchors. A piece then
+    enters in the round in which its end is reached, and goes once its common prefix cannot reach the length any more.
+    """
     m, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
     text = np.frombuffer(b"".join(pieces), np.uint8)
     stop = np.cumsum(sizes)
-    # Symbols are raised by one: 0 says that a suffix is a whole piece. UTF-8 has no byte 255.
+    after_anchor = np.zeros(m, np.int64) if lead is None else sizes - lead
+    delay = after_anchor.max() - after_anchor
+    # Symbols are raised by one: 0 says that a suffix has no symbol before it, or none yet. UTF-8 has no byte 255.
     symbol = lambda who, n: np.where(n <= sizes[who], text[np.maximum(stop[who] - n, 0)] + np.uint8(1), np.uint8(0))
-    live = np.arange(m)
-    bwt = symbol(live, np.ones(m, np.int64))
-    lcp, tag, at = np.zeros(m, np.uint8), (np.arange(m, dtype=np.int32) << 8), np.arange(m)
-    for j in range(1, int(sizes.max()) + 1):
+    stays, left = np.ones(m, bool), m
+    bwt, lcp, tag, at = np.zeros(m, np.uint8), np.zeros(m, np.uint8), (np.arange(m, dtype=np.int32) << 8), np.arange(m)
+    for j in range(1, int((sizes + delay).max()) + 1):
+        length = j - delay
+        begins = np.flatnonzero(stays & (length == 1))
+        bwt[at[begins]] = symbol(begins, np.ones(len(begins), np.int64))
+        live = np.flatnonzero(stays & (length > 0) & (length <= sizes))
+        if not len(live):
+            continue
         order = np.argsort(bwt, kind="stable")
         n = len(bwt)
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         done = int(np.count_nonzero(bwt == 0))
-        live = live[sizes[live] >= j]
         live = live[np.argsort(at[live])]  # ranges below are then read in order
         p = at[live]
         r = rank[p]
-        place = m + r - done
+        place = left + r - done
         before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
         joined, leads = (r > 0) & (bwt[before] == bwt[p]), (r + 1 < n) & (bwt[after] == bwt[p])
         wide = np.append(lcp, np.uint8(255))
@@ -133,14 +143,26 @@ def repeated_windows(pieces: list[bytes], document: np.ndarray, start: np.ndarra
         old = np.ones(size, bool)
         old[place] = False
         fresh = [np.empty(size, a.dtype) for a in (bwt, lcp, tag)]
-        for new, past, value in zip(fresh, (bwt, lcp, tag), (symbol(live, np.full(len(live), j + 1)), own, (live << 8 | j).astype(np.int32)), strict=True):
+        for new, past, value in zip(fresh, (bwt, lcp, tag), (symbol(live, length[live] + 1), own, (live << 8 | length[live]).astype(np.int32)), strict=True):
             new[old] = past
             new[place] = value
         if leads.any():
             next_ = np.minimum(np.minimum.reduceat(wide, np.stack([p[leads] + 1, after[leads] + 1], 1).ravel())[::2], LENGTH - 1) + 1
             fresh[1][place[leads] + 1] = next_
         bwt, lcp, tag = fresh
+        # Suffixes of pieces that are not live have moved only if they are ends, which stay in front.
         at[live] = place
+        if lead is not None and j % 8 == 0:
+            best = np.maximum(lcp[place], np.append(lcp, np.uint8(0))[place + 1]).astype(np.int64)
+            now = length[live]
+            stays[live[(now < LENGTH) & (best + sizes[live] - now < LENGTH)]] = False
+            kept = np.flatnonzero(stays[tag >> 8])
+            if not len(kept):
+                return np.zeros((0, 2), np.int64)
+            if len(kept) < len(tag):
+                lcp = np.minimum.reduceat(lcp[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+                at = np.searchsorted(kept, at)
+                bwt, tag, left = bwt[kept], tag[kept], int(stays.sum())
     long = (tag & 255) >= LENGTH
     group = np.cumsum(lcp < LENGTH)[long]
     who, window = tag[long] >> 8, sizes[tag[long] >> 8] - (tag[long] & 255)
@@ -165,22 +187,22 @@ def _runs(rows: np.ndarray) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """gram, piece, doc_id, th, start, many for every piece of the documents."""
+    """gram, piece, doc_id, th, start, many, lead for every piece of the documents."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            doc, start, many, gram, piece = pieces_of(texts_of(batch))
+            doc, start, many, lead, gram, piece = pieces_of(texts_of(batch))
             doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(piece), batch.column("doc_id").take(doc), batch.column("th").take(doc), pa.array(start), pa.array(many)], names=["gram", "piece", "doc_id", "th", "start", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(piece), batch.column("doc_id").take(doc), batch.column("th").take(doc), pa.array(start), pa.array(many), pa.array(lead)], names=["gram", "piece", "doc_id", "th", "start", "many", "lead"])
 
-    return docs.mapInArrow(run, f"gram long, piece long, doc_id {id_type}, th long, start long, many long")
+    return docs.mapInArrow(run, f"gram long, piece long, doc_id {id_type}, th long, start long, many long, lead long")
 
 
 def _grams(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(pieces_of(texts_of(batch))[3])], names=["gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(pieces_of(texts_of(batch))[4])], names=["gram"])
 
     return docs.select("text").mapInArrow(run, "gram long")
 
@@ -204,31 +226,30 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th, spans (array of start and end, unmerged) for documents with repeated strings. docs: doc_id, text, th."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     repeated = cut(_grams(docs).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    table, blocks = bloom.built(repeated, "gram", repeated.count())
-    found = bloom.tested(_pieces(docs), "gram", table, blocks).filter("_hit").drop("_hit").withColumn("no_id", F.col("doc_id").isNull())
-    found = cut(found.join(repeated.withColumnRenamed("gram", "_gram"), F.col("gram") == F.col("_gram"), "left_semi"))
-    firsts = cut(found.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.max("many").alias("many")))
+    found = bloom.tested(_pieces(docs), "gram", *bloom.built(repeated, "gram", repeated.count())).filter("_hit").drop("_hit")
+    found = table(found.join(repeated.withColumnRenamed("gram", "_gram"), F.col("gram") == F.col("_gram"), "left_semi")).withColumn("no_id", F.col("doc_id").isNull())
+    firsts = table(found.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.max("many").alias("many"), F.max("lead").alias("lead")))
     other = firsts.select(F.col("gram").alias("_gram"), F.col("piece").alias("_piece"), "first")
     copies = found.join(other, (F.col("gram") == F.col("_gram")) & (F.col("piece") == F.col("_piece"))).filter(F.struct(*ORDER) > F.col("first"))
     spans = copies.select("doc_id", "th", "start", (F.col("start") + F.col("many") + LENGTH - 1).alias("end"))
 
     shared = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("_gram"), "kinds")
-    shared = firsts.join(shared, F.col("gram") == F.col("_gram")).select("gram", "kinds", "first.doc_id", "first.th", "first.start", "many")
-    wanted = cut(shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "kinds", "start", "many")).alias("wanted")))
+    shared = firsts.join(shared, F.col("gram") == F.col("_gram")).select("gram", "kinds", "first.doc_id", "first.th", "first.start", "many", "lead")
+    wanted = cut(shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "kinds", "start", "many", "lead")).alias("wanted")))
 
     def slices(batches):
         for batch in chunks(batches, limit=CHUNK):
-            out: dict[str, list] = {k: [] for k in ("gram", "kinds", "row", "start", "data")}
+            out: dict[str, list] = {k: [] for k in ("gram", "kinds", "row", "start", "lead", "data")}
             for row, (text, items) in enumerate(zip(texts_of(batch), batch.column("wanted").to_pylist(), strict=True)):
                 for x in items:
-                    for k, v in zip(out, (x["gram"], x["kinds"], row, x["start"], text[x["start"] : x["start"] + x["many"] + LENGTH - 1]), strict=True):
+                    for k, v in zip(out, (x["gram"], x["kinds"], row, x["start"], x["lead"], text[x["start"] : x["start"] + x["many"] + LENGTH - 1]), strict=True):
                         out[k].append(v)
             row = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["kinds"], pa.int64()), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(out["start"], pa.int64()), pa.array(out["data"], pa.binary())], names=["gram", "kinds", "doc_id", "th", "start", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["kinds"], pa.int64()), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(out["start"], pa.int64()), pa.array(out["lead"], pa.int64()), pa.array(out["data"], pa.binary())], names=["gram", "kinds", "doc_id", "th", "start", "lead", "data"])
 
     # Rows equal in id and text are one document: its pieces are taken once.
     holders = _with_lists(_sieved(docs, wanted).filter("_hit").drop("_hit"), wanted, "wanted").filter("wanted IS NOT NULL").select("doc_id", "th", "text", "wanted")
-    taken = cut(holders.mapInArrow(slices, f"gram long, kinds long, doc_id {id_type}, th long, start long, data binary").dropDuplicates(["gram", "doc_id", "th", "start"]))
+    taken = table(holders.mapInArrow(slices, f"gram long, kinds long, doc_id {id_type}, th long, start long, lead long, data binary").dropDuplicates(["gram", "doc_id", "th", "start"]))
 
     span_schema = f"doc_id {id_type}, th long, start long, end long"
 
@@ -252,12 +273,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         order = {key: k for k, key in enumerate(sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["th"]) for r in rows}))}
         document = np.array([order[r["doc_id"] is None, r["doc_id"] or 0, r["th"]] for r in rows])
         start = np.array([r["start"] for r in rows])
-        runs = _runs(repeated_windows([r["data"] for r in rows], document, start))
+        runs = _runs(repeated_windows([r["data"] for r in rows], document, start, np.array([r["lead"] for r in rows])))
         who = runs[:, 0].tolist()
         type_ = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type)
         return pa.RecordBatch.from_arrays([pa.array([rows[k]["doc_id"] for k in who], type_), pa.array([rows[k]["th"] for k in who], pa.int64()), pa.array(start[runs[:, 0]] + runs[:, 1]), pa.array(start[runs[:, 0]] + runs[:, 2] + LENGTH)], names=["doc_id", "th", "start", "end"])
 
-    few = taken.filter(F.col("kinds") <= GROUP).select("gram", "doc_id", "th", "start", "data")
+    few = taken.filter(F.col("kinds") <= GROUP).select("gram", "doc_id", "th", "start", "lead", "data")
     spans = spans.unionByName(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, span_schema))
 
     def windows(batches):
