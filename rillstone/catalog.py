@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("scans", "predicates", "joins", "aggregates")
+PLANS = ("scans", "predicates", "joins", "aggregates", "sequences", "folds", "scalars", "signals", "reports", "live")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

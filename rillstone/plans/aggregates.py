@@ -170,7 +170,7 @@ def emission_census(spark, sf):
     return g.groupBy("device").agg(F.count("*").alias("slots"), count("c = 1", "one"), count("c = 2", "two"), count("c = 3", "three"), count("c >= 4", "more"), count("gap = 1", "next_slot"), count("gap BETWEEN 2 AND 7", "near"), count("gap >= 8", "far"))
 
 
-EFFORT = """e AS (SELECT device, t // 86400 AS day, t, bpm, least(120.0, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 1.0)) AS sec FROM s WINDOW w AS (PARTITION BY device, t // 86400 ORDER BY t, seq)),
+EFFORT = """e AS (SELECT device, t // 86400 AS day, t, bpm, value, least(120.0, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 1.0)) AS sec FROM s WINDOW w AS (PARTITION BY device, t // 86400 ORDER BY t, seq)),
 h AS (SELECT *, (bpm - 50) / (190 - 50) AS hrr FROM e), z AS (SELECT *, CASE WHEN hrr >= 0.9 THEN 5 WHEN hrr >= 0.8 THEN 4 WHEN hrr >= 0.7 THEN 3 WHEN hrr >= 0.6 THEN 2 WHEN hrr >= 0.5 THEN 1 ELSE 0 END AS zone FROM h)"""
 
 
