@@ -17,8 +17,8 @@ memory, where one unbounded collection would need files. Windows whose suffixes
 equal, and all but the earliest of such a run are repeated.
 
 A gram with more than ``GROUP`` distinct pieces (a passage in very many contexts) would gather in one task: its pieces
-are cut into their windows, which meet by a hash of their whole 100 bytes, and only the earliest stays. This is exact
-too and splits evenly.
+are cut into blocks of windows, which meet by the gram and a hash of all their bytes; the windows of the blocks that are
+the earliest of their kind then meet in the same way. This leaves out no window and splits evenly.
 
 Defined results: null and empty texts have no bytes. Rows with equal ids are ordered by a hash of their texts; rows equal
 in both are one document and get equal results. Null ids come last. An empty table gives an empty result.
@@ -39,8 +39,8 @@ from .ctph import INVERSE, PRIME, _power
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-#: Distinct pieces of a gram that are sorted together; pieces of a collection.
-GROUP, COLLECTION = 48, 1500
+#: Distinct pieces of a gram that are sorted together; pieces of a collection; windows of a block.
+GROUP, COLLECTION, BLOCK = 48, 1500, 8
 CHUNK = 1 << 20
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,9 +84,10 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     hashes = Hashes(raw)
-    at = np.arange(len(raw) - GRAM + 1)
-    grams = hashes.of(at, at + GRAM)
-    keys = ((grams >> np.uint64(33)).astype(np.int64) << 32) | at
+    grams = _mixed((hashes.sums[GRAM:] - hashes.sums[:-GRAM]) * hashes.back[: len(raw) - GRAM + 1])
+    keys = (grams >> np.uint64(1)).view(np.int64)
+    keys &= ~0xFFFFFFFF
+    keys |= np.arange(len(keys))
     anchor = _least(keys, WINDOW) & 0xFFFFFFFF
     end_of = np.repeat(ends, sizes)[: len(anchor)]
     starts = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= end_of)
@@ -281,18 +282,39 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     few = taken.filter(F.col("kinds") <= GROUP).select("gram", "doc_id", "th", "start", "lead", "data")
     spans = spans.unionByName(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, span_schema))
 
-    def windows(batches):
-        for batch in chunks(batches, "data", CHUNK // 16):
-            data = [b[k : k + LENGTH] for b in batch.column("data").to_pylist() for k in range(len(b) - LENGTH + 1)]
-            many = np.array([len(b) - LENGTH + 1 for b in batch.column("data").to_pylist()])
-            row = pa.array(np.repeat(np.arange(len(many)), many))
-            offset = np.concatenate([np.arange(k) for k in many]) if len(many) else np.zeros(0, np.int64)
-            digest = pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([digest, batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(batch.column("start").take(row).to_numpy() + offset)], names=["digest", "doc_id", "th", "start"])
-
-    many = taken.filter(F.col("kinds") > GROUP).select("doc_id", "th", "start", "data").mapInArrow(windows, f"digest binary, doc_id {id_type}, th long, start long").withColumn("no_id", F.col("doc_id").isNull())
-    least = many.groupBy("digest").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("_digest"), "first")
-    spans = spans.unionByName(many.join(least, F.col("digest") == F.col("_digest")).filter(F.struct(*ORDER) > F.col("first")).select("doc_id", "th", "start", (F.col("start") + LENGTH).alias("end")))
+    def blocks(batches):
+        """Blocks of neighbouring windows at equal distances from the anchor, with a hash of each and of each window."""
+        for batch in chunks(batches, "data", CHUNK // 8):
+            data = batch.column("data").to_pylist()
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            many, base = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
+            hashes = Hashes(np.frombuffer(b"".join(data), np.uint8))
+            row = np.repeat(np.arange(len(data)), many)
+            window = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = base[row] + window
+            block = (batch.column("lead").to_numpy()[row] - window) // BLOCK
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+            last = np.append(new[1:], len(row)) - 1
+            whole = _mixed(hashes.of(at[new], at[last] + LENGTH) + (last - new).astype(np.uint64))
+            each = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(hashes.of(at, at + LENGTH).view(np.int64)))
+            take = pa.array(row[new])
+            start = batch.column("start").to_numpy()[row[new]] + window[new]
+            yield pa.RecordBatch.from_arrays([batch.column("gram").take(take), pa.array(whole.view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(start), each], names=["gram", "piece", "doc_id", "th", "start", "windows"])
+
+    def later(rows, width):
+        """Spans of the rows whose (gram, piece) also starts earlier."""
+        least = rows.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("gram").alias("_gram"), F.col("piece").alias("_piece"), "first")
+        again = rows.join(least, (F.col("gram") == F.col("_gram")) & (F.col("piece") == F.col("_piece"))).filter(F.struct(*ORDER) > F.col("first"))
+        return again.select("doc_id", "th", "start", (F.col("start") + width + LENGTH - 1).alias("end"))
+
+    many = taken.filter(F.col("kinds") > GROUP).select("gram", "doc_id", "th", "start", "lead", "data")
+    many = table(many.mapInArrow(blocks, f"gram long, piece long, doc_id {id_type}, th long, start long, windows array<long>")).withColumn("no_id", F.col("doc_id").isNull())
+    spans = spans.unionByName(later(many, F.size("windows")))
+    # Of equal blocks only the earliest goes on to its windows.
+    single = many.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER, "windows")).alias("b")).select("gram", "b.*")
+    single = single.select("gram", F.posexplode("windows").alias("k", "piece"), "no_id", "doc_id", "th", (F.col("start")).alias("begin"))
+    single = table(single.select("gram", "piece", "no_id", "doc_id", "th", (F.col("begin") + F.col("k")).alias("start")))
+    spans = spans.unionByName(later(single, F.lit(1)))
     return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
