@@ -261,8 +261,10 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
         """Of each text: its ids as little-endian 32-bit integers, and the byte offset at which each pre-token starts."""
-        points = np.frombuffer(b"".join(texts).decode("utf-8").encode("utf-32-le"), "<u4")
         data = b"".join(texts)
+        if not data:
+            return [(b"", np.zeros(0, np.int64)) for _ in texts]
+        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), "<u4")
         raw = np.frombuffer(data, np.uint8)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)  # byte offset of each code point
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))

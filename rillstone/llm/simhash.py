@@ -148,8 +148,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null = rows.filter(F.col("doc_id").isNull()).limit(1).count()
     out = docs.join(stay, docs["doc_id"] == stay["component_id"], "left_semi").dropDuplicates(["doc_id"])
     if null:
-        lone = labelled(rows).filter(F.col("component_id").isNull()).select("fp")
-        first = fingerprinted(docs.filter(F.col("doc_id").isNull()), names, name="_fp").join(lone, F.col("_fp") == F.col("fp"), "left_semi")
+        lone = labelled(rows).filter(F.col("component_id").isNull()).select(F.col("fp").alias("_lone"))
+        first = fingerprinted(docs.filter(F.col("doc_id").isNull()), names, name="_fp").join(lone, F.col("_fp") == F.col("_lone"), "left_semi")
         out = out.unionByName(first.dropDuplicates(["_fp"]).select(*names))
     return out
 
