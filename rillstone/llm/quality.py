@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_H
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ v AS (SELECT mean, (SELECT sum(n_docs * power(n_failed / n_docs - mean, 2)) / su
 s AS (SELECT mean, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / v - 1)) ELSE 1e6 END AS weight FROM v),
 k AS (SELECT source, (n_failed + mean * weight) / (n_docs + weight) AS host_rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       host_rate, (NOT base_failed AND NOT host_rate > 0.5) AS kept
+       round(host_rate, 6) AS host_rate, (NOT base_failed AND NOT k.host_rate > 0.5) AS kept
 FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
 """
 QUERIES = {"op3_quality_rules": op3_quality_rules}
