@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import WHITE, chunks, cut, read_table, texts_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -122,12 +123,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows of ``docs`` that pass their own rules and whose host passes."""
+    """Pipeline stage: rows of ``docs`` that pass their own rules and whose host passes.
+
+    Texts do not move: a bounded Bloom filter of the rejected hosts lets all other rows through where they are, and only
+    what it may hold meets the list of rejected hosts.
+    """
     names = docs.columns
+    key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce(F.col("source"), F.lit("")))
     flags = cut(measured(docs, ["source"]).select("source", base_failed().alias("base_failed")))
-    bad = host_rates(flags).filter(F.col("host_rate") > MAX_HOST_RATE).select(F.col("source").alias("_host"))
-    good = measured(docs, names).filter(~base_failed()).select(*names)
-    return good.join(bad, good["source"].eqNullSafe(bad["_host"]), "left_anti")
+    bad = cut(host_rates(flags).filter(F.col("host_rate") > MAX_HOST_RATE).select(key.alias("_bad")))
+    # Under other names meanwhile, so that no column clashes with a measure.
+    own = [f"_c{k}" for k in range(len(names))]
+    renamed = docs.select(*(F.col(c).alias(k) for c, k in zip(names, own, strict=True)), key.alias("_host"))
+    good = measured(renamed, [*own, "_host"], own[names.index("text")]).filter(~base_failed()).select(*own, "_host")
+    n = bad.count()
+    if not n:
+        return good.select(*own).toDF(*names)
+    tested = bloom.tested(good, "_host", *bloom.built(bad, "_bad", n))
+    hits = tested.filter("_hit").join(bad, F.col("_host") == F.col("_bad"), "left_anti")
+    return tested.filter("NOT _hit").select(*own).unionByName(hits.select(*own)).toDF(*names)
 
 
 ORACLE_SQL = """

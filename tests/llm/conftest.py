@@ -13,7 +13,7 @@ def docs_of(spark):
     def make(rows, source=None):
         full = [(i, t, None, source(i) if source else "s", None if t is None else len(t)) for i, t in rows]
         df = spark.createDataFrame(full, DOCS)
-        return df.selectExpr("*", "1 AS words", "'x' AS fp", "2 AS spans", "3 AS gram", "4 AS th", "5 AS word", "6 AS component_id", "7 AS base_failed", "8 AS p", "9 AS n")
+        return df.selectExpr("*", "1 AS words", "'x' AS fp", "2 AS spans", "3 AS gram", "4 AS th", "5 AS word", "6 AS component_id", "7 AS base_failed", "8 AS p", "9 AS n", "10 AS n_words", "11 AS host_rate", "12 AS _hit")
 
     return make
 
