@@ -15,16 +15,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def available(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream gives for all input that is there now. Appends go to files, exactly once; other modes to memory."""
+    """What the stream gives for all input that is there now, as files in the shared folder.
+
+    Appended rows are written exactly once; in other modes each batch replaces the table. Nothing goes to the driver.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark, "stream")
+    path = f"{folder}/rows"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
-        return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-    name = f"stream_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], rows.schema)  # there was no input
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 class Ledger:

@@ -42,3 +42,10 @@ def test_ledger(spark):
     ledger = Ledger(spark, shared_folder(spark, "ledger"))
     a, b = spark.range(3), spark.range(4)
     assert [ledger.accept(a, 1), ledger.accept(a, 1), ledger.accept(b, 1), ledger.accept(b, 2)] == ["accepted", "repeated", "conflict", "accepted"]
+
+
+def test_a_stream_without_input_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    rows = spark.readStream.schema("device long, t long, value double").parquet(str(tmp_path / "none"))
+    assert available(rows).count() == 0
+    assert available(rows.groupBy("device").count(), "complete").count() == 0
