@@ -149,3 +149,37 @@ def decoded_samples(blobs: DataFrame, column: str = "samples") -> DataFrame:
     at = lambda k: F.conv(F.concat(F.substring(hexed, k * 4 + 3, F.lit(2)), F.substring(hexed, k * 4 + 1, F.lit(2))), 16, 10).cast("int")
     signed = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.when(at(k) >= 32768, at(k) - 65536).otherwise(at(k)))
     return blobs.withColumn("values", signed)
+
+
+def sqlite_tables(data: bytes) -> list[str]:
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.deserialize(data)
+        return [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+    except sqlite3.DatabaseError:
+        return []
+    finally:
+        con.close()
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """The rows of a table of SQLite files, a file a row of work; files without the table give none."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for frame in frames:
+            for content in frame["content"]:
+                if table not in sqlite_tables(bytes(content)):
+                    continue
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                there = {r[1] for r in con.execute(f'PRAGMA table_info("{table}")')}
+                columns = ", ".join(f'"{n}"' if n in there else f'NULL AS "{n}"' for n in names)
+                yield pd.DataFrame(con.execute(f'SELECT {columns} FROM "{table}"').fetchall(), columns=names)
+                con.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)

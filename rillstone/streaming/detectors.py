@@ -92,3 +92,11 @@ def detected(rows: DataFrame, step: Step, width: int, key: str = "device", ts: s
 
     state_schema = ", ".join(f"s{k} double" for k in range(width))
     return rows.select(key, ts, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, t long, event string", state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def pacer(state: tuple, t: int, x: float, drop: float = 8.0, step: float = 0.5, floor: float = 4.5) -> tuple[tuple, str | None]:
+    """Lowers a breathing pace step by step while the heart rate follows. state: pace, rate at the last step."""
+    pace, mark = state or (6.5, x)
+    if x <= mark - drop and pace > floor:
+        return (pace - step, x), f"pace {pace - step:g}"
+    return (pace, mark), None
