@@ -118,13 +118,30 @@ def viterbi(emissions: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Epochs asleep in a row that make the onset; how long after it rem is held back, and by how much.
+ONSET_EPOCHS, GUARD_S, GUARD_PENALTY = 10, 3600, 3.0
+
+
+def guarded(emissions: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Two decodes: the first finds the onset, the second holds rem back for a while after it."""
+    labels = viterbi(emissions)
+    asleep = labels != LABELS.index("awake")
+    onset = next((k for k in range(len(asleep) - ONSET_EPOCHS + 1) if asleep[k : k + ONSET_EPOCHS].all()), None)
+    if onset is None:
+        return labels
+    early = (t >= t[onset]) & (t < t[onset] + GUARD_S)
+    again = emissions.copy()
+    again[early, LABELS.index("rem")] -= GUARD_PENALTY
+    return viterbi(again)
+
+
 def _label_night(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["t", "seq"])
     z = lambda c: ((c - c.mean()) / (c.std(ddof=0) or 1.0)).fillna(0).to_numpy()
     move, hr = z(pdf["value"]), z(pdf["bpm"])
     var = z(pdf["bpm"].rolling(11, center=True, min_periods=1).std(ddof=0).fillna(0))
     e = np.stack([-1.1 * var - 0.5 * move, 0.6 * var - 0.6 * move + 0.4 * hr, np.zeros(len(pdf)), move + 0.8 * var + 0.4 * hr], 1)
-    return pd.DataFrame({"device": pdf["device"], "day": pdf["day"], "seq": pdf["seq"], "label": [LABELS[k] for k in viterbi(e)]})
+    return pd.DataFrame({"device": pdf["device"], "day": pdf["day"], "seq": pdf["seq"], "label": [LABELS[k] for k in guarded(e, pdf["t"].to_numpy())]})
 
 
 @query()

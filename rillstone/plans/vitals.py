@@ -13,18 +13,32 @@ from ..operators.windows import by, capped_durations
 from .aggregates import R
 from .bindings import DAILY, SESSIONS, SHIPPED, STREAM, daily, sessions, shipped, stream, table
 
-CALORIES = """e AS (SELECT device, t // 86400 AS day, bpm, least(60.0, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 1.0)) AS sec FROM s WINDOW w AS (PARTITION BY device, t // 86400 ORDER BY t, bpm DESC)),
-m AS (SELECT device, day, median(sec) AS cap FROM e GROUP BY ALL), r AS (SELECT e.*, cap, (88.362 + 13.397 * 75 + 4.799 * 178 - 5.677 * 35) / 86400 AS rest, (-55.0969 + 0.6309 * bpm + 0.1988 * 75 + 0.2017 * 35) / 251.04 AS gross FROM e JOIN m USING (device, day))"""
+# Resting energy by weight, height and age, and energy by heart rate, weight and age, for men and women.
+RESTING = {"m": (88.362, 13.397, 4.799, -5.677), "f": (447.593, 9.247, 3.098, -4.330)}
+WORKING = {"m": (-55.0969, 0.6309, 0.1988, 0.2017), "f": (-20.4022, 0.4472, -0.1263, 0.074)}
+DIVISOR, WEIGHT, HEIGHT, AGE = 251.04, 75, 178, 35
+
+
+def _resting(sex: str) -> float:
+    a, w, h, y = RESTING[sex]
+    return (a + w * WEIGHT + h * HEIGHT + y * AGE) / 86400
+
+
+CALORIES = f"""e AS (SELECT device, t // 86400 AS day, bpm, least(60.0, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 1.0)) AS sec FROM s WINDOW w AS (PARTITION BY device, t // 86400 ORDER BY t, bpm DESC)),
+m AS (SELECT device, day, median(sec) AS cap FROM e GROUP BY ALL), r AS (SELECT e.*, cap, CASE WHEN device % 2 = 0 THEN {_resting("m")!r} ELSE {_resting("f")!r} END AS rest,
+CASE WHEN device % 2 = 0 THEN -55.0969 + 0.6309 * bpm + 0.1988 * 75 + 0.2017 * 35 ELSE -20.4022 + 0.4472 * bpm - 0.1263 * 75 + 0.074 * 35 END / 251.04 AS gross FROM e JOIN m USING (device, day))"""
 
 
 @query(f"WITH {STREAM}, {CALORIES} SELECT device, day, round(sum(rest * sec), 4) AS resting, round(sum(CASE WHEN bpm > 50 + 0.5 * (190 - 50) THEN greatest(0, gross - rest) * least(sec, cap) ELSE 0 END), 4) AS active FROM r GROUP BY ALL")
 def day_calories(spark, sf):
-    """A resting rate over the seconds seen, and what exceeds it while the heart works hard; coefficients for one person."""
+    """A resting rate over the seconds seen, and what exceeds it while the heart works hard; coefficients by sex."""
     w = W.partitionBy("device", "day").orderBy("t", F.desc("bpm"))
     e = stream(spark, sf).withColumn("day", F.expr("t DIV 86400")).withColumn("sec", capped_durations("t", w, 60, 1.0))
     caps = e.groupBy("device", "day").agg(F.percentile("sec", 0.5).alias("cap"))
-    rest = F.lit((88.362 + 13.397 * 75 + 4.799 * 178 - 5.677 * 35) / 86400)
-    gross = (-55.0969 + 0.6309 * F.col("bpm") + 0.1988 * 75 + 0.2017 * 35) / 251.04
+    men = F.col("device") % 2 == 0
+    work = lambda a, h, w, y: (a + h * F.col("bpm") + w * WEIGHT + y * AGE) / DIVISOR
+    rest = F.when(men, _resting("m")).otherwise(_resting("f"))
+    gross = F.when(men, work(*WORKING["m"])).otherwise(work(*WORKING["f"]))
     active = F.when(F.col("bpm") > 50 + 0.5 * (190 - 50), F.greatest(F.lit(0.0), gross - rest) * F.least("sec", "cap")).otherwise(0.0)
     return e.join(caps, ["device", "day"]).groupBy("device", "day").agg(R(F.sum(rest * F.col("sec")), 4).alias("resting"), R(F.sum(active), 4).alias("active"))
 

@@ -45,3 +45,16 @@ def test_fold_states_in_order(spark):
 def test_streaks_ignore_repeats(spark):
     days = spark.sql("SELECT 'a' AS k, explode(array(DATE'2024-02-28', DATE'2024-02-29', DATE'2024-02-29', DATE'2024-03-01', DATE'2024-03-05')) AS day")
     assert sorted(r["length"] for r in windows.day_streaks(days, "k", "day").collect()) == [1, 3]
+
+
+def test_second_decode_holds_early_rem_back():
+    import numpy as np
+
+    from rillstone.plans.folds import LABELS, guarded, viterbi
+
+    e = np.zeros((200, 4))
+    e[:, LABELS.index("rem")] = 2.0
+    t = np.arange(200) * 60
+    assert set(viterbi(e)) == {LABELS.index("rem")}
+    labels = guarded(e, t)
+    assert LABELS.index("rem") not in labels[5:55] and (labels[70:] == LABELS.index("rem")).all()
