@@ -29,7 +29,7 @@ m AS (SELECT device, day, median(sec) AS cap FROM e GROUP BY ALL), r AS (SELECT
 CASE WHEN device % 2 = 0 THEN -55.0969 + 0.6309 * bpm + 0.1988 * 75 + 0.2017 * 35 ELSE -20.4022 + 0.4472 * bpm - 0.1263 * 75 + 0.074 * 35 END / 251.04 AS gross FROM e JOIN m USING (device, day))"""
 
 
-@query(f"WITH {STREAM}, {CALORIES} SELECT device, day, round(sum(rest * sec), 4) AS resting, round(sum(CASE WHEN bpm > 50 + 0.5 * (190 - 50) THEN greatest(0, gross - rest) * least(sec, cap) ELSE 0 END), 4) AS active FROM r GROUP BY ALL")
+@query(f"WITH {STREAM}, {CALORIES} SELECT device, day, round(sum(rest * sec), 2) AS resting, round(sum(CASE WHEN bpm > 50 + 0.5 * (190 - 50) THEN greatest(0, gross - rest) * least(sec, cap) ELSE 0 END), 4) AS active FROM r GROUP BY ALL")
 def day_calories(spark, sf):
     """A resting rate over the seconds seen, and what exceeds it while the heart works hard; coefficients by sex."""
     w = W.partitionBy("device", "day").orderBy("t", F.desc("bpm"))
@@ -40,7 +40,7 @@ def day_calories(spark, sf):
     rest = F.when(men, _resting("m")).otherwise(_resting("f"))
     gross = F.when(men, work(*WORKING["m"])).otherwise(work(*WORKING["f"]))
     active = F.when(F.col("bpm") > 50 + 0.5 * (190 - 50), F.greatest(F.lit(0.0), gross - rest) * F.least("sec", "cap")).otherwise(0.0)
-    return e.join(caps, ["device", "day"]).groupBy("device", "day").agg(R(F.sum(rest * F.col("sec")), 4).alias("resting"), R(F.sum(active), 4).alias("active"))
+    return e.join(caps, ["device", "day"]).groupBy("device", "day").agg(R(F.sum(rest * F.col("sec")), 2).alias("resting"), R(F.sum(active), 4).alias("active"))
 
 
 @query(f"""WITH {DAILY}, z AS (SELECT *, stddev_samp(n) OVER (PARTITION BY device ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS spread FROM d)
