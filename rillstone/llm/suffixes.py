@@ -5,7 +5,8 @@ A byte goes if a 100-byte string that covers it also starts earlier (in a smalle
 Routing. Of the 69 grams of 32 bytes in each 100-byte window the one with the smallest hash (the first of equals) is the
 window's anchor: equal windows have equal anchors at equal places. Consecutive windows with one anchor make a piece
 (168 bytes at most). Only pieces whose anchor gram occurs twice can repeat; grams are counted over the cluster, and a
-bounded Bloom filter followed by an exact join keeps the occurrences of repeated grams. Equal pieces are pre-aggregated
+bounded Bloom filter keeps the occurrences of repeated grams (what it lets through beside them meets nothing and goes in
+the next step). Equal pieces are pre-aggregated
 to the earliest: every window of a later one has an earlier start, however many copies there are.
 
 Construction. Distinct pieces that share a gram are compared by suffix sorting. A task takes whole groups in
@@ -212,9 +213,10 @@ ORDER = ("no_id", "doc_id", "th", "start")
 
 
 def _sieved(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``docs`` with _hit: false where the Bloom filter of ``keyed``'s text hashes rules the document out."""
-    keys = keyed.select(F.col("th").alias("_key"))
-    return bloom.tested(docs, "th", *bloom.built(keys, "_key", keys.count()))
+    """``docs`` with _hit: false where the Bloom filter of ``keyed``'s documents rules the document out."""
+    key = F.xxhash64("doc_id", "th")
+    keys = keyed.select(key.alias("_key"))
+    return bloom.tested(docs.withColumn("_own", key), "_own", *bloom.built(keys, "_key", keys.count())).drop("_own")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
@@ -223,19 +225,21 @@ def _with_lists(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
     return docs.join(right, (docs["th"] == right["_th"]) & docs["doc_id"].eqNullSafe(right["_id"]), "left").drop("_id", "_th")
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
     """doc_id, th, spans (array of start and end, unmerged) for documents with repeated strings. docs: doc_id, text, th."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     repeated = cut(_grams(docs).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     found = bloom.tested(_pieces(docs), "gram", *bloom.built(repeated, "gram", repeated.count())).filter("_hit").drop("_hit")
-    found = table(found.join(repeated.withColumnRenamed("gram", "_gram"), F.col("gram") == F.col("_gram"), "left_semi")).withColumn("no_id", F.col("doc_id").isNull())
-    firsts = table(found.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.max("many").alias("many"), F.max("lead").alias("lead")))
-    other = firsts.select(F.col("gram").alias("_gram"), F.col("piece").alias("_piece"), "first")
-    copies = found.join(other, (F.col("gram") == F.col("_gram")) & (F.col("piece") == F.col("_piece"))).filter(F.struct(*ORDER) > F.col("first"))
+    found = table(found).withColumn("no_id", F.col("doc_id").isNull())
+    firsts = table(found.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.max("many").alias("many"), F.max("lead").alias("lead"), F.count("*").alias("n")))
+    other = firsts.filter("n > 1").select(F.col("gram").alias("_gram"), F.col("piece").alias("_piece"), "first")
+    held = bloom.tested(found, "piece", *bloom.built(other, "_piece", other.count())).filter("_hit").drop("_hit")
+    copies = held.join(other, (F.col("gram") == F.col("_gram")) & (F.col("piece") == F.col("_piece"))).filter(F.struct(*ORDER) > F.col("first"))
     spans = copies.select("doc_id", "th", "start", (F.col("start") + F.col("many") + LENGTH - 1).alias("end"))
 
-    shared = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("_gram"), "kinds")
-    shared = firsts.join(shared, F.col("gram") == F.col("_gram")).select("gram", "kinds", "first.doc_id", "first.th", "first.start", "many", "lead")
+    shared = table(firsts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("_gram"), "kinds"))
+    kept = bloom.tested(firsts, "gram", *bloom.built(shared, "_gram", shared.count())).filter("_hit").drop("_hit")
+    shared = kept.join(shared, F.col("gram") == F.col("_gram")).select("gram", "kinds", "first.doc_id", "first.th", "first.start", "many", "lead")
     wanted = cut(shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "kinds", "start", "many", "lead")).alias("wanted")))
 
     def slices(batches):
@@ -250,7 +254,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     # Rows equal in id and text are one document: its pieces are taken once.
     holders = _with_lists(_sieved(docs, wanted).filter("_hit").drop("_hit"), wanted, "wanted").filter("wanted IS NOT NULL").select("doc_id", "th", "text", "wanted")
-    taken = table(holders.mapInArrow(slices, f"gram long, kinds long, doc_id {id_type}, th long, start long, lead long, data binary").dropDuplicates(["gram", "doc_id", "th", "start"]))
+    taken = holders.mapInArrow(slices, f"gram long, kinds long, doc_id {id_type}, th long, start long, lead long, data binary")
+    if repeated_ids:
+        taken = taken.dropDuplicates(["gram", "doc_id", "th", "start"])
+    taken = table(taken)
 
     span_schema = f"doc_id {id_type}, th long, start long, end long"
 
@@ -330,8 +337,12 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of each row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
-    spans = cut(removed_spans(rows))
+    ids = docs.groupBy(F.col(doc_id).alias("_id")).count()
+    repeated_ids = ids.filter("count > 1 OR _id IS NULL").limit(1).count() > 0
+    # The hash of the text orders rows of equal ids; where ids are enough it is left at zero and costs nothing to move.
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated_ids else F.lit(0).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), th.alias("th"))
+    spans = cut(removed_spans(rows, repeated_ids))
     sieved = _sieved(rows, spans)
     hits = _with_lists(sieved.filter("_hit").drop("_hit"), spans, "spans").select("doc_id", "text", "spans")
     misses = sieved.filter("NOT _hit").select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
