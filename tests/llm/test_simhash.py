@@ -87,3 +87,38 @@ def test_one_of_each_component_stays(spark, docs_of):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "8", "None"]
     assert kept.columns == docs_of(rows).columns
     assert simhash.keep_one(spark, docs_of([]), "").count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_near_copies_of_the_stage_against_all_pairs(spark, docs_of, bucket, monkeypatch):
+    """Chains of edited copies from J = 1 to well below 0.8, most of them farther apart than two bits."""
+    monkeypatch.setattr(simhash, "near_roots", lambda docs, prints, f=simhash.near_roots: f(docs, prints, bucket))
+    draw = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(900)]
+    rows = []
+    for _ in range(4):
+        base = draw.choices(vocabulary, k=200)
+        for _ in range(15):
+            words = list(base)
+            for _ in range(draw.choice([1, 2, 3, 4, 6, 12])):
+                words[draw.randrange(200)] = draw.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    near = [(a, b) for a, b in combinations(range(len(rows)), 2) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert any((plain(rows[a][1]) ^ plain(rows[b][1])).bit_count() > 2 for a, b in near)
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = simhash.keep_one(spark, docs_of(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_rows_of_one_id_with_other_texts_are_kept_apart(spark, docs_of):
+    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (1, "q r s t u v w"), (2, "a b c d e f g")]
+    got = simhash.keep_one(spark, docs_of(rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, "a b c d e f g"), (1, "q r s t u v w")]
