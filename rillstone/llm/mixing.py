@@ -27,14 +27,16 @@ from .common import bounded, cut, read_table
 #: quality 0/1, toxic 0/1: their names, and the share of tokens that each should have.
 DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 WEIGHTS = (0.08, 0.02, 0.85, 0.05)
+#: The domain whose texts the pipeline keeps at least once, unless their fitted rate is next to nothing.
+CLEAN, LEAST_CLEAN = 2, 1e-3
 MAX_LABELLED, FEATURES, LEAST_TEXTS = 20_000, 128, 20
 #: A word tells of a domain if it is so many times as frequent there as overall; words that are merely absent do not.
 LEAST_LIFT = 3.0
 #: And if its log-likelihood ratio is beyond chance among very many words.
 LEAST_GAIN = 15.0
 STEPS, CLOSE = 30, 1e-6
-#: How strongly rates are held near one, against the targets; more in the pipeline, where a domain may have few labels.
-PULL, PIPELINE_PULL = 1e-4, 0.05
+#: How strongly rates are held near one, against the targets.
+PULL = 1e-4
 
 
 def words_of(text: Column) -> Column:
@@ -112,13 +114,17 @@ def expected_tokens(rows: DataFrame) -> list[float]:
     return [x or 0.0 for x in got]
 
 
+def targets_of(expected: list[float], weights: tuple = WEIGHTS) -> list[float]:
+    """The weights' shares of all expected tokens, over the domains that have any."""
+    live = sum(w for w, e in zip(weights, expected, strict=True) if e > 0) or 1.0
+    return [sum(expected) * w / live if e > 0 else 0.0 for w, e in zip(weights, expected, strict=True)]
+
+
 def mixed(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, the posterior of each domain and the rate at which the document should be taken."""
     rows = cut(memberships(docs, *classifier(docs, labels), [doc_id]))
     expected = expected_tokens(rows)
-    live = sum(w for w, e in zip(weights, expected, strict=True) if e > 0) or 1.0
-    targets = [sum(expected) * w / live if e > 0 else 0.0 for w, e in zip(weights, expected, strict=True)]
-    g = fit(rows, targets, expected)
+    g = fit(rows, targets_of(expected, weights), expected)
     return rows.select(doc_id, F.col("n").alias("n_words"), *(F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)), rate(F.col("p"), g).alias("rate"))
 
 
@@ -126,25 +132,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-#: The pipeline's mix, as multiples of each domain's expected tokens: faulty and toxic text is halved. The sum is
-#: free: rates are divided by that of a text without any telling word, so that such a text stays once.
-MULTIPLES = (0.5, 0.25, 1.0, 0.5)
-
-
 def mix_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row is repeated floor(rate + u) times, where u in [0, 1) is a hash of its id and text.
 
-    Targets are ``MULTIPLES`` of the expected tokens; rates are relative to that of a text without telling words.
+    Targets are ``WEIGHTS`` of all tokens. Rates are then divided by that of a text without telling words, or that of a
+    surely clean text if it is less: the shares stay, and clean texts stay at least once.
     """
     names = docs.columns
     labels = read_table(spark, sf_dir, "labels")
     prior, weights = classifier(docs, labels)
     rows = cut(memberships(docs, prior, weights, []))
     expected = expected_tokens(rows)
-    g = fit(rows, [m * e for m, e in zip(MULTIPLES, expected, strict=True)], expected, PIPELINE_PULL)
+    g = fit(rows, targets_of(expected), expected)
     plain = np.exp(np.array(prior) - max(prior))
-    plain = max(0.0, 1.0 - float(plain @ np.array(g)) / float(plain.sum())) or 1.0
-    rated = with_posterior(docs.select(F.struct(*names).alias("_row"), words_of(F.col("text")).alias("_words")), prior, weights).withColumn("_rate", rate(F.col("p"), g) / F.lit(plain) + F.lit(1e-9))
+    clean = min(1.0 - float(plain @ np.array(g)) / float(plain.sum()), 1.0 - g[CLEAN])
+    scale = clean if clean > LEAST_CLEAN else 1.0
+    rated = with_posterior(docs.select(F.struct(*names).alias("_row"), words_of(F.col("text")).alias("_words")), prior, weights).withColumn("_rate", rate(F.col("p"), g) / F.lit(scale) + F.lit(1e-9))
     u = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rated = rated.select("_row", F.explode(F.sequence(F.lit(0), F.floor(F.col("_rate") + u))).alias("_copy"))
     return rated.filter("_copy > 0").select("_row.*")

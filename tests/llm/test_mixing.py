@@ -41,3 +41,16 @@ def test_edges(spark, docs_of, edge, labels):
 def test_no_python_in_the_plan(spark, docs_of, edge):
     df = mixing.mixed(docs_of(edge), spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_stage_brings_domains_to_their_weights(spark, docs_of, tmp_path):
+    """Faulty and toxic texts hold half of the tokens that come in; counted by label, the result has the weights."""
+    kinds = {"q1t0": "plain", "q0t0": "junk***", "q1t1": "fool", "q0t1": "spam&&&"}
+    sizes = {"q1t0": 600, "q0t0": 200, "q1t1": 200, "q0t1": 200}
+    rows = [(1000 * d + k, f"{word} words number {k} in a row") for d, (name, word) in enumerate(kinds.items()) for k in range(sizes[name])]
+    label = [(i, int(list(kinds)[i // 1000][1]), int(list(kinds)[i // 1000][3])) for i, _ in rows]
+    spark.createDataFrame(label, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [list(kinds)[r["doc_id"] // 1000] for r in mixing.mix_kept(spark, docs_of(rows), str(tmp_path)).collect()]
+    for name, weight in zip(mixing.DOMAINS, mixing.WEIGHTS, strict=True):
+        assert abs(got.count(name) / len(got) - weight) < 0.02, name
+    assert got.count("q1t0") >= 590
