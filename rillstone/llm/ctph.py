@@ -3,7 +3,8 @@
 A rolling hash of the last seven bytes ends a piece wherever its low bits are all one; as many bits as the block size
 has. Each piece gives one of 64 characters. The block size starts where about 64 pieces are expected and is halved
 while the signature is too short, so that texts of like length have like block sizes. A fingerprint is
-``block:signature:signature at twice the block``. The last character of a signature covers all that is left of a text.
+``block:signature:signature at twice the block``. Signatures have a character for every piece, however many a text has:
+its last character covers what follows the last boundary alone.
 Fingerprints compare at equal or neighbouring block sizes: one less the edit distance (insertions and deletions) over
 the summed lengths, and 0 unless the signatures share a run of seven characters (half the shorter one, if that is less).
 
@@ -72,8 +73,8 @@ def fingerprint(data: bytes) -> str:
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(PRIME, n)[:n], out=sums[1:])
     back = _power(INVERSE, n)
 
-    def signature(block: int, most: int) -> bytes:
-        ends = at[(hashes & np.uint32(block - 1)) == block - 1][: most - 1] + 1
+    def signature(block: int) -> bytes:
+        ends = at[(hashes & np.uint32(block - 1)) == block - 1] + 1
         if not len(ends) or ends[-1] < n:
             ends = np.append(ends, n)
         begins = np.concatenate([[0], ends[:-1]])
@@ -85,11 +86,11 @@ def fingerprint(data: bytes) -> str:
     block = LEAST_BLOCK
     while block * PIECES < n:
         block *= 2
-    first = signature(block, PIECES)
+    first = signature(block)
     while len(first) < SHORTER and block > LEAST_BLOCK:
         block //= 2
-        first = signature(block, PIECES)
-    return f"{block}:{first.decode()}:{signature(2 * block, SHORTER).decode()}"
+        first = signature(block)
+    return f"{block}:{first.decode()}:{signature(2 * block).decode()}"
 
 
 def common_length(a: str, b: str) -> int:

@@ -52,3 +52,19 @@ def test_common_length_is_that_of_a_table():
                 new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
             row = new
         assert ctph.common_length(a, b) == row[-1]
+
+
+def test_every_boundary_of_a_text_with_frequent_triggers_counts():
+    """Repeated lines have far more boundaries than 64; an edit of the last third moves about a third of the signature."""
+    draw = random.Random(10)
+    seen = 0
+    for _ in range(30):
+        line = text(draw, 6) + "\n"
+        a = line * 80 + text(draw, 60)
+        b = a[: len(a) - len(a) // 3] + text(draw, 600)[: len(a) // 3]
+        f, g = ctph.fingerprint(a.encode()), ctph.fingerprint(b.encode())
+        first = f.split(":")[1]
+        if len(first) > ctph.PIECES:
+            seen += 1
+            assert ctph.likeness(f, g) < 0.95
+    assert seen > 3
