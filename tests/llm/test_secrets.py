@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from rillstone.llm import secrets
 
@@ -52,3 +53,28 @@ def test_masking_keeps_rows_and_columns(spark, docs_of, edge):
     assert out.columns == docs.columns and out.count() == docs.count()
     r = {x["doc_id"]: x for x in out.collect()}
     assert r[70]["text"] == "é [secret] end" and r[70]["n_chars"] == 14 and r[1]["text"] is None and r[4]["text"] == "one"
+
+
+def test_texts_whose_constants_build_on_each_other_take_linear_time():
+    key = 'x = "q8W!e7R#t6Y$u5I"\n'
+    cases = {
+        "doubled": key + "x = x + x\n" * 40 + "secret = x\n",
+        "two names": key + 'y = "Zk39xQw7"\n' + "x = x + y\ny = y + x\n" * 500 + "secret = y\n",
+        "grown": key.replace("x", "secret") + 'secret = secret + "b2"\n' * 20000,
+        "handed on": key.replace("x", "s0") + "".join(f's{k + 1} = s{k} + "b2"\n' for k in range(20000)) + "secret = s20000\n",
+        "one line": "a=b:" * 50000,
+        "unclosed": 'a="b=\'c=`' * 20000,
+    }
+    for name, t in cases.items():
+        began = time.perf_counter()
+        found = secrets.scan(t.encode())
+        assert time.perf_counter() - began < 10, name
+        n = {"doubled": 1, "two names": 2, "grown": 20001, "handed on": 20001, "one line": 0, "unclosed": 0}[name]
+        assert len([x for x in found if x[1] == 3]) == n, name
+
+
+def test_types_prefixes_subscripts_and_blocks():
+    key = "q8W!e7R#t6Y$u5I"
+    for t in (f'password: str = "{key}"', f"let secret: Map<string> = '{key}'", f"os.environ['API_TOKEN'] = r'{key}'", f'a_{"long_" * 30}password = "{key}"', f'def f():\n    k = "{key}"\n    password = k\n'):
+        assert {t[a:b] for a, k, b in secrets.scan(t.encode()) if k == 3} == {key}, t
+    assert not secrets.scan(f'def f():\n    k = "{key}"\ndef g():\n    password = k\n'.encode())
