@@ -2,8 +2,9 @@
 
 Each document is measured alone (words, symbols, repeated lines, repeated five-word windows). The failures of the
 base rules are counted by host; each host's rate is shrunk towards the corpus by an empirical beta prior (its mean is
-the corpus rate, its weight comes from the variance between hosts); a host whose shrunken rate exceeds ``max_rate`` is
-rejected with all its documents. Host counts are pre-aggregated before the shuffle, so a host with a third of all rows
+the corpus rate, its weight comes from the variance between hosts). A host is rejected with all its documents when its
+posterior says that it fails ``max_lift`` times as often as the corpus: when the rate is above that by ``DOUBT`` standard
+deviations of the posterior. So a host with few documents, or one that is merely worse than most, stays. Host counts are pre-aggregated before the shuffle, so a host with a third of all rows
 costs one row a task; the way back is a join on (host, salt).
 
 Defined results: null text is an empty text, which fails; a null host is a host of its own; rows with equal ids are
@@ -26,8 +27,8 @@ from .common import WHITE, chunks, cut, read_table, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: A host is rejected when its shrunken failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its failure rate is surely above so many times the corpus rate.
+MAX_LIFT, DOUBT = 3.0, 2.0
 #: Bounds of the prior's weight in documents.
 PRIOR_WEIGHT = (1.0, 1e6)
 SALTS = 32
@@ -91,8 +92,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def host_rates(flags: DataFrame, host: str = "source", failed: str = "base_failed") -> DataFrame:
-    """One row per host: documents, failures and the shrunken failure rate."""
+def host_rates(flags: DataFrame, host: str = "source", failed: str = "base_failed", max_lift: float = MAX_LIFT) -> DataFrame:
+    """One row per host: documents, failures, the shrunken failure rate and the verdict."""
     hosts = cut(flags.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")))
     total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f")).first()
     n, f = total["n"] or 0, total["f"] or 0
@@ -100,22 +101,24 @@ def host_rates(flags: DataFrame, host: str = "source", failed: str = "base_faile
     spread = hosts.agg((F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), 2)) / F.sum("n_docs")).alias("v")).first()["v"] or 0.0
     low, high = PRIOR_WEIGHT
     weight = min(high, max(low, mean * (1 - mean) / spread - 1)) if spread > 0 else high
-    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)))
+    shrunk, many = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)), F.col("n_docs") + F.lit(weight)
+    sure = F.col("host_rate") - DOUBT * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (many + 1))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", sure > F.lit(max_lift * mean))
 
 
 def with_host_rate(rows: DataFrame, rates: DataFrame, host: str = "source", salts: int = SALTS) -> DataFrame:
     """Join each row with its host's rate; null hosts meet each other."""
     key = lambda c: (F.col(c).isNull().alias("_none"), F.coalesce(F.col(c), F.lit("")).alias("_host"))
-    right = rates.select(*key(host), "host_rate", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    right = rates.select(*key(host), "host_rate", "host_rejected", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     left = rows.select("*", *key(host), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("_salt"))
     return left.join(right, ["_none", "_host", "_salt"]).drop("_none", "_host", "_salt")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, the measures, base_failed, host_rate and kept for each row of ``docs``."""
+def quality_rules(docs: DataFrame, host: str = "source", max_lift: float = MAX_LIFT, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, the measures, base_failed, host_rate, host_rejected and kept for each row of ``docs``."""
     rows = cut(measured(docs, [doc_id, host]).withColumn("base_failed", base_failed()))
-    out = with_host_rate(rows, host_rates(rows, host), host)
-    return out.select(doc_id, *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~(F.col("host_rate") > max_rate)).alias("kept"))
+    out = with_host_rate(rows, host_rates(rows, host, max_lift=max_lift), host)
+    return out.select(doc_id, *MEASURES, "base_failed", "host_rate", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +134,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce(F.col("source"), F.lit("")))
     flags = cut(measured(docs, ["source"]).select("source", base_failed().alias("base_failed")))
-    bad = cut(host_rates(flags).filter(F.col("host_rate") > MAX_HOST_RATE).select(key.alias("_bad")))
+    bad = cut(host_rates(flags).filter("host_rejected").select(key.alias("_bad")))
     # Under other names meanwhile, so that no column clashes with a measure.
     own = [f"_c{k}" for k in range(len(names))]
     renamed = docs.select(*(F.col(c).alias(k) for c, k in zip(names, own, strict=True)), key.alias("_host"))
@@ -166,9 +169,10 @@ h AS (SELECT source, count(*) AS n_docs, sum(CAST(base_failed AS BIGINT)) AS n_f
 t AS (SELECT sum(n_failed) / sum(n_docs) AS mean FROM h),
 v AS (SELECT mean, (SELECT sum(n_docs * power(n_failed / n_docs - mean, 2)) / sum(n_docs) FROM h) AS v FROM t),
 s AS (SELECT mean, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / v - 1)) ELSE 1e6 END AS weight FROM v),
-k AS (SELECT source, (n_failed + mean * weight) / (n_docs + weight) AS host_rate FROM h, s)
+x AS (SELECT source, (n_failed + mean * weight) / (n_docs + weight) AS host_rate, n_docs + weight AS many, mean FROM h, s),
+k AS (SELECT source, host_rate, host_rate - 2 * sqrt(host_rate * (1 - host_rate) / (many + 1)) > 3 * mean AS host_rejected FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       round(host_rate, 6) AS host_rate, (NOT base_failed AND NOT k.host_rate > 0.5) AS kept
+       round(host_rate, 6) AS host_rate, host_rejected, (NOT base_failed AND NOT host_rejected) AS kept
 FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
 """
 QUERIES = {"op3_quality_rules": op3_quality_rules}
