@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import chunks, cut, extended, read_table, table, texts_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -111,10 +112,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     return direct.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of the undirected edges (u, v)."""
     state, edges = None, cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -125,8 +126,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -254,10 +253,17 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = banded(docs)
     roots = near_roots(docs, prints)
     own = prints.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("k"))
-    stay = cut(own.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.least").alias("_least"), F.col("k.node").alias("_stay")))
+    stay = own.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.least").alias("_least"), F.col("k.node").alias("_stay"))
+    # Decided on ids and hashes; texts move only where a row goes or has equals.
     rows = docs.withColumn("_node", _node())
-    out = rows.join(stay, (F.col("_node") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_node"]).drop("_node")
+    each = rows.groupBy("doc_id", "_node").agg(F.count("*").alias("many"))
+    each = each.join(stay.withColumn("_stays", F.lit(True)), (F.col("_node") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left")
+    touched = table(each.filter("_stays IS NULL OR many > 1").select(F.xxhash64("doc_id", "_node").alias("_touched"), F.col("_stays").isNotNull().alias("_stays")))
+    rows = bloom.tested(rows.withColumn("_key", F.xxhash64("doc_id", "_node")), "_key", *bloom.built(touched, "_touched", touched.count()), flag="_moved")
+    moved = rows.filter("_moved").join(touched, F.col("_key") == F.col("_touched"), "left")
+    own = docs.columns
+    kept = moved.filter("_touched IS NULL").select(*own).unionByName(moved.filter("_stays").dropDuplicates(["_key"]).select(*own))
+    return rows.filter("NOT _moved").select(*own).unionByName(kept)
 
 
 QUERIES = {"op5_simhash": op5_simhash}
