@@ -2,12 +2,17 @@
 
 Domains are the four pairs of a quality and a toxicity label. A naive Bayes classifier over the presence of selected
 words, fitted on at most ``MAX_LABELLED`` rows of ``labels`` (in order of a hash of their ids; the bound is a
-parameter), gives every document a posterior over the domains: soft memberships, no hard assignment. Document i with
-n_i words adds n_i p_id to domain d's expected tokens. Rates r_i >= 0 are fitted by projected-gradient least squares so
-that sum_i r_i n_i p_id is the domain's target (to within a weak pull of the rates to one, which decides where posteriors
-cannot). Steps are gradients A r - T, preconditioned by the Gram matrix of the posteriors of documents whose rate is not
-at the bound; they are summed to g and projected: r_i = max(0, 1 - p_i . g). Gradient and matrix are sums of a few
-numbers over the cluster, so a step is one pass over a narrow table, and no rate is ever gathered.
+parameter), gives every document a posterior over the domains: soft memberships, no hard assignment. Words are chosen by
+their evidence, and a word's rates are smoothed towards its overall rate by ``PRIOR_TEXTS`` texts, so that few texts say
+little; nothing is switched off by the size of the table.
+
+Document i with n_i words adds n_i p_id to domain d's expected tokens. Rates r_i >= 0 are fitted by projected-gradient
+least squares so that A r, the sums of r_i n_i p_id, are the domains' targets T. A step takes the gradient of
+|A r - T|^2 (in the metric of the inverse Gram matrix of the documents whose rate is not at the bound), and every
+document's rate is projected after every step: r_i <- max(0, r_i - p_i . s). A rate is a function of p_i and the steps
+so far, so none is stored or gathered: a step is one pass over a narrow table, whose sums are a few numbers.
+Rates start at one; where posteriors cannot tell documents apart the targets may not be reached, and ``max_miss`` says by
+how much the worst domain's share of tokens misses.
 
 Defined results: null and empty texts have no words; their posterior is the prior and their rate follows from it.
 Labels that are null or have no document are not used; without labels posteriors are uniform. Domains that no document
@@ -29,14 +34,10 @@ DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 WEIGHTS = (0.08, 0.02, 0.85, 0.05)
 #: The domain whose texts the pipeline keeps at least once, unless their fitted rate is next to nothing.
 CLEAN, LEAST_CLEAN = 2, 1e-3
-MAX_LABELLED, FEATURES, LEAST_TEXTS = 20_000, 128, 20
-#: A word tells of a domain if it is so many times as frequent there as overall; words that are merely absent do not.
-LEAST_LIFT = 3.0
-#: And if its log-likelihood ratio is beyond chance among very many words.
-LEAST_GAIN = 15.0
-STEPS, CLOSE = 30, 1e-6
-#: How strongly rates are held near one, against the targets.
-PULL = 1e-4
+MAX_LABELLED, FEATURES = 20_000, 128
+#: Texts of the overall rate that are added to each domain's rate of a word.
+PRIOR_TEXTS = 10.0
+STEPS, CLOSE, STALLED = 40, 1e-7, 5
 
 
 def words_of(text: Column) -> Column:
@@ -53,16 +54,16 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fea
     n = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}
     total, k = sum(n.values()), len(DOMAINS)
     counts = [F.count_if(F.col("d") == d).alias(f"n{d}") for d in range(k)]
-    by_word = rows.select("d", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *counts).filter(F.col("n") >= LEAST_TEXTS)
-    rate = lambda d: (F.col(f"n{d}") + 0.5) / (F.lit(n.get(d, 0)) + 1.0)
+    by_word = rows.select("d", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *counts).filter("n > 1")
     overall = (F.col("n") + 0.5) / (F.lit(total) + 1.0)
+    rate = lambda d: (F.col(f"n{d}") + PRIOR_TEXTS * overall) / (F.lit(n.get(d, 0)) + PRIOR_TEXTS)
     gain = sum((F.lit(n.get(d, 0)) * (rate(d) * F.log(rate(d) / overall) + (1 - rate(d)) * F.log((1 - rate(d)) / (1 - overall))) for d in range(k)), F.lit(0.0))
-    lift = F.greatest(*(rate(d) / overall for d in range(k)))
-    best = by_word.withColumn("gain", gain).filter((lift >= LEAST_LIFT) & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "word").limit(features).collect()
+    best = by_word.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(features).collect()
     prior = [math.log((n.get(d, 0) + 0.5) / (total + 0.5 * k)) if total else 0.0 for d in range(k)]
     words = {}
     for r in best:
-        p = [(r[f"n{d}"] + 0.5) / (n.get(d, 0) + 1.0) for d in range(k)]
+        most = (r["n"] + 0.5) / (total + 1.0)
+        p = [(r[f"n{d}"] + PRIOR_TEXTS * most) / (n.get(d, 0) + PRIOR_TEXTS) for d in range(k)]
         prior = [a + math.log(1 - q) for a, q in zip(prior, p, strict=True)]
         words[r["word"]] = [math.log(q / (1 - q)) for q in p]
     return prior, words
@@ -80,27 +81,39 @@ def with_posterior(rows: DataFrame, prior: list[float], weights: dict[str, list[
     return rows.drop("_z", "_top", "_e", "_sum")
 
 
-def rate(p: Column, g: list[float]) -> Column:
-    """The rate of a document with posterior p after gradient steps that sum to g."""
-    return F.greatest(F.lit(0.0), 1.0 - sum((p[d] * F.lit(x) for d, x in enumerate(g)), F.lit(0.0)))
+def rate(p: Column, steps: list[list[float]]) -> Column:
+    """The rate of a document with posterior p: from one, projected after each step."""
+    r = F.lit(1.0)
+    for s in steps:
+        r = F.greatest(F.lit(0.0), r - sum((p[d] * F.lit(float(x)) for d, x in enumerate(s)), F.lit(0.0)))
+    return r
 
 
-def fit(rows: DataFrame, targets: list[float], expected: list[float], pull: float = PULL, steps: int = STEPS, close: float = CLOSE) -> list[float]:
-    """The summed gradient steps, each preconditioned. rows: n, p."""
-    k = len(targets)
-    size = np.array([e or 1.0 for e in expected])
-    g = np.zeros(k)
-    for step in range(steps):
+def rate_of(p: np.ndarray, steps: list[list[float]]) -> float:
+    r = 1.0
+    for s in steps:
+        r = max(0.0, r - float(p @ np.array(s)))
+    return r
+
+
+def fit(rows: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], float]:
+    """The steps, and by which part of all tokens the worst domain misses its target after them. rows: n, p."""
+    k, whole = len(targets), sum(targets) or 1.0
+    done: list[list[float]] = []
+    best, least, stalled = done, float("inf"), 0
+    while True:
         r, n, p = F.col("r"), F.col("n"), F.col("p")
         total = [F.sum(r * n * p[d]).alias(f"t{d}") for d in range(k)]
         gram = [F.sum(F.when(r > 0, n * p[d] * p[e])).alias(f"m{d}_{e}") for d in range(k) for e in range(d, k)]
-        got = rows.select("n", "p", rate(p, g.tolist()).alias("r")).agg(*total, *gram).first()
-        miss = np.array([got[f"t{d}"] or 0.0 for d in range(k)]) - np.array(targets) - pull * size * g
-        if max(abs(miss) / size, default=0.0) < close:
-            break
+        got = rows.select("n", "p", rate(F.col("p"), done).alias("r")).agg(*total, *gram).first()
+        miss = np.array([got[f"t{d}"] or 0.0 for d in range(k)]) - np.array(targets)
+        worst = float(abs(miss).max()) / whole
+        best, least, stalled = (done, worst, 0) if worst < 0.99 * least else (best, least, stalled + 1)
+        if least < close or stalled > STALLED or len(done) == steps:
+            return best, least
         m = np.array([[got[f"m{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(k)] for d in range(k)])
-        g = g + (1.0 if step < 10 else 0.5) * np.linalg.solve(m + np.diag(pull * size), miss)
-    return g.tolist()
+        move = np.linalg.pinv(m, rcond=1e-9, hermitian=True) @ miss
+        done = [*done, ((1.0 if stalled == 0 else 0.5) * move).tolist()]
 
 
 def memberships(docs: DataFrame, prior: list[float], weights: dict[str, list[float]], keep: list[str]) -> DataFrame:
@@ -121,11 +134,10 @@ def targets_of(expected: list[float], weights: tuple = WEIGHTS) -> list[float]:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, the posterior of each domain and the rate at which the document should be taken."""
+    """doc_id, n_words, the posterior of each domain, the rate at which the document should be taken, and max_miss."""
     rows = cut(memberships(docs, *classifier(docs, labels), [doc_id]))
-    expected = expected_tokens(rows)
-    g = fit(rows, targets_of(expected, weights), expected)
-    return rows.select(doc_id, F.col("n").alias("n_words"), *(F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)), rate(F.col("p"), g).alias("rate"))
+    steps, miss = fit(rows, targets_of(expected_tokens(rows), weights))
+    return rows.select(doc_id, F.col("n").alias("n_words"), *(F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)), rate(F.col("p"), steps).alias("rate"), F.lit(miss).alias("max_miss"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +154,12 @@ def mix_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
     prior, weights = classifier(docs, labels)
     rows = cut(memberships(docs, prior, weights, []))
-    expected = expected_tokens(rows)
-    g = fit(rows, targets_of(expected), expected)
+    steps, _ = fit(rows, targets_of(expected_tokens(rows)))
     plain = np.exp(np.array(prior) - max(prior))
-    clean = min(1.0 - float(plain @ np.array(g)) / float(plain.sum()), 1.0 - g[CLEAN])
+    plain, sure = plain / plain.sum(), np.eye(len(DOMAINS))[CLEAN]
+    clean = min(rate_of(plain, steps), rate_of(sure, steps))
     scale = clean if clean > LEAST_CLEAN else 1.0
-    rated = with_posterior(docs.select(F.struct(*names).alias("_row"), words_of(F.col("text")).alias("_words")), prior, weights).withColumn("_rate", rate(F.col("p"), g) / F.lit(scale) + F.lit(1e-9))
+    rated = with_posterior(docs.select(F.struct(*names).alias("_row"), words_of(F.col("text")).alias("_words")), prior, weights).withColumn("_rate", rate(F.col("p"), steps) / F.lit(scale) + F.lit(1e-9))
     u = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rated = rated.select("_row", F.explode(F.sequence(F.lit(0), F.floor(F.col("_rate") + u))).alias("_copy"))
     return rated.filter("_copy > 0").select("_row.*")

@@ -1,24 +1,50 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillstone.llm import mixing
 
 
-def test_rates_meet_targets_and_stay_nonnegative(spark):
+def plain_projected_gradient(n, p, targets, rounds=20000):
+    """Many short projected-gradient steps on the rates themselves, in the fixed metric of all documents."""
+    rates = np.ones(len(n))
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    for _ in range(rounds):
+        rates = np.maximum(0, rates - 0.5 * p @ (inverse @ ((rates * n) @ p - targets)))
+    return rates
+
+
+@pytest.mark.parametrize("lift", [(0.4, 1.5, 1.1, 0.3), (1.0, 1.0, 1.0, 1.0), (3.0, 0.1, 0.6, 0.2)])
+def test_rates_meet_targets_as_plain_projected_gradient_does(spark, lift):
     draw = np.random.default_rng(3)
     p = draw.dirichlet([0.2, 0.1, 1.0, 0.3], 500)
     n = draw.integers(1, 400, 500)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
-    expected = (n[:, None] * p).sum(0)
-    targets = expected * np.array([0.4, 1.5, 1.1, 0.3])
-    g = mixing.fit(rows, targets.tolist(), expected.tolist(), 1e-6)
-    rates = np.array([r[0] for r in rows.select(mixing.rate(rows["p"], g)).collect()])
-    assert (rates >= 0).all() and (rates == 0).any()
-    # The same problem by many plain projected-gradient steps.
-    other = np.ones(500)
-    for _ in range(5000):
-        other = np.maximum(0, other - p @ (((other * n) @ p - targets) / expected))
-    assert np.allclose((rates * n) @ p, targets, rtol=1e-3) == np.allclose((other * n) @ p, targets, rtol=1e-3)
+    targets = (n[:, None] * p).sum(0) * np.array(lift)
+    steps, miss = mixing.fit(rows, targets.tolist())
+    rates = np.array([r[0] for r in rows.select(mixing.rate(rows["p"], steps)).collect()])
+    assert np.allclose(rates, [mixing.rate_of(x, steps) for x in p])
+    other = plain_projected_gradient(n, p, targets)
+    assert (rates >= 0).all() and miss < 1e-4
+    assert np.allclose((rates * n) @ p, targets, rtol=2e-3) and np.allclose((other * n) @ p, targets, rtol=2e-3)
+    # Both move rates little from one: their weighted distances are alike.
+    assert (n * (rates - 1) ** 2).sum() <= 1.5 * (n * (other - 1) ** 2).sum() + 1e-6
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = spark.createDataFrame([(10, [0.25] * 4)] * 20, "n long, p array<double>")
+    _, miss = mixing.fit(rows, [160.0, 20.0, 10.0, 10.0])
+    assert abs(miss - 0.55) < 1e-6
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_shares_of_the_tables_meet_the_weights(spark, size):
+    rows = mixing.op2_mixing(spark, f"/root/testdata/{size}")
+    got = rows.agg(*(F.sum(F.col("n_words") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS), F.max("max_miss").alias("miss"), F.count_distinct("rate").alias("rates")).first()
+    total = sum(got[d] for d in mixing.DOMAINS)
+    for d, w in zip(mixing.DOMAINS, mixing.WEIGHTS, strict=True):
+        assert abs(got[d] / total - w) < 0.01, d
+    assert got["miss"] < 0.01 and got["rates"] > 10
 
 
 def test_labelled_domains_are_told_apart(spark, docs_of):
