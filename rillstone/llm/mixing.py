@@ -3,7 +3,7 @@
 Domains are the four pairs of a quality and a toxicity label. A naive Bayes classifier over the presence of selected
 words, fitted on at most ``MAX_LABELLED`` rows of ``labels`` (in order of a hash of their ids; the bound is a
 parameter), gives every document a posterior over the domains: soft memberships, no hard assignment. Words are chosen by
-their evidence, and a word's rates are smoothed towards its overall rate by ``PRIOR_TEXTS`` texts, so that few texts say
+their evidence (that of their presence alone: a text in another language is not faulty for lacking the words of this one), and a word's rates are smoothed towards its overall rate by ``PRIOR_TEXTS`` texts, so that few texts say
 little; nothing is switched off by the size of the table.
 
 Document i with n_i words adds n_i p_id to domain d's expected tokens. Rates r_i >= 0 are fitted by projected-gradient
@@ -57,7 +57,9 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fea
     by_word = rows.select("d", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *counts).filter("n > 1")
     overall = (F.col("n") + 0.5) / (F.lit(total) + 1.0)
     rate = lambda d: (F.col(f"n{d}") + PRIOR_TEXTS * overall) / (F.lit(n.get(d, 0)) + PRIOR_TEXTS)
-    gain = sum((F.lit(n.get(d, 0)) * (rate(d) * F.log(rate(d) / overall) + (1 - rate(d)) * F.log((1 - rate(d)) / (1 - overall))) for d in range(k)), F.lit(0.0))
+    # Words that tell by being there: texts of the domain that hold them, times the squared logarithm of the smoothed lift,
+    # so that a word that is common everywhere says little however many texts hold it.
+    gain = F.greatest(*(F.col(f"n{d}") * F.pow(F.greatest(F.lit(0.0), F.log(rate(d) / overall)), F.lit(2.0)) for d in range(k)))
     best = by_word.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(features).collect()
     prior = [math.log((n.get(d, 0) + 0.5) / (total + 0.5 * k)) if total else 0.0 for d in range(k)]
     words = {}
