@@ -2,7 +2,8 @@
 
 Blocks have 256 bits in four words; a key sets two bits in each word of one block. The filter is an aggregate over blocks with ``MAX_BLOCKS``
 blocks at most (8 MB), so that broadcasting it is bounded whatever the number of keys: more keys only let more false
-positives through. It never misses a key.
+positives through. It never misses a key. ``sieved`` uses it only up to ``CAPACITY`` keys: beyond that it would hold back next to
+nothing, so nothing is broadcast and every row is left to the exact join that follows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BITS, BITS_A_KEY, MAX_BLOCKS = 256, 16, 1 << 18
 WORDS = BLOCK_BITS // 64
+CAPACITY = MAX_BLOCKS * BLOCK_BITS // BITS_A_KEY
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -42,3 +44,11 @@ def tested(rows: DataFrame, key: str, table: DataFrame, blocks: int, flag: str =
     for k, m in enumerate(_masks(F.col(key))):
         hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
     return probe.select(*names, F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def sieved(rows: DataFrame, key: str, keys: DataFrame, column: str, flag: str = "_hit") -> DataFrame:
+    """``rows`` with a boolean column: whether an exact join with ``keys`` still has to look at the row."""
+    n = keys.count()
+    if n > CAPACITY:
+        return rows.withColumn(flag, F.lit(True))
+    return tested(rows, key, *built(keys, column, n), flag=flag)

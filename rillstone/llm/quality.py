@@ -139,10 +139,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [f"_c{k}" for k in range(len(names))]
     renamed = docs.select(*(F.col(c).alias(k) for c, k in zip(names, own, strict=True)), key.alias("_host"))
     good = measured(renamed, [*own, "_host"], own[names.index("text")]).filter(~base_failed()).select(*own, "_host")
-    n = bad.count()
-    if not n:
+    if not bad.limit(1).count():
         return good.select(*own).toDF(*names)
-    tested = bloom.tested(good, "_host", *bloom.built(bad, "_bad", n))
+    tested = bloom.sieved(good, "_host", bad, "_bad")
     hits = tested.filter("_hit").join(bad, F.col("_host") == F.col("_bad"), "left_anti")
     return tested.filter("NOT _hit").select(*own).unionByName(hits.select(*own)).toDF(*names)
 

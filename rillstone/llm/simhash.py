@@ -259,7 +259,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each = rows.groupBy("doc_id", "_node").agg(F.count("*").alias("many"))
     each = each.join(stay.withColumn("_stays", F.lit(True)), (F.col("_node") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left")
     touched = table(each.filter("_stays IS NULL OR many > 1").select(F.xxhash64("doc_id", "_node").alias("_touched"), F.col("_stays").isNotNull().alias("_stays")))
-    rows = bloom.tested(rows.withColumn("_key", F.xxhash64("doc_id", "_node")), "_key", *bloom.built(touched, "_touched", touched.count()), flag="_moved")
+    rows = bloom.sieved(rows.withColumn("_key", F.xxhash64("doc_id", "_node")), "_key", touched, "_touched", "_moved")
     moved = rows.filter("_moved").join(touched, F.col("_key") == F.col("_touched"), "left")
     own = docs.columns
     kept = moved.filter("_touched IS NULL").select(*own).unionByName(moved.filter("_stays").dropDuplicates(["_key"]).select(*own))

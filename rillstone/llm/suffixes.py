@@ -4,10 +4,13 @@ A byte goes if a 100-byte string that covers it also starts earlier (in a smalle
 
 Routing. Of the 69 grams of 32 bytes in each 100-byte window the one with the smallest hash (the first of equals) is the
 window's anchor: equal windows have equal anchors at equal places. Consecutive windows with one anchor make a piece
-(168 bytes at most). Only pieces whose anchor gram occurs twice can repeat; grams are counted over the cluster, and a
-bounded Bloom filter keeps the occurrences of repeated grams (what it lets through beside them meets nothing and goes in
-the next step). Equal pieces are pre-aggregated
-to the earliest: every window of a later one has an earlier start, however many copies there are.
+(168 bytes at most). All pieces meet by their grams in one shuffle, as hashes and places without text. A window over a
+gram's pieces, sorted, tells which are alone (nothing can repeat there), which are copies of an earlier equal piece
+(every window of a copy has an earlier start, however many copies there are), and how many distinct ones there are.
+
+Hot grams, those frequent in a sample of documents and at most ``HOT``, are spread over salts by their pieces, and a task
+passes on only those of their pieces that are earlier than all equal ones it has seen: the others are copies. The sample
+decides nothing but this layout.
 
 Construction. Distinct pieces that share a gram are compared by suffix sorting. A task takes whole groups in
 collections of bounded size and builds each collection's Burrows-Wheeler transform and longest common prefixes column by
@@ -32,6 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -39,6 +43,8 @@ from .common import chunks, cut, extended, read_table, table, texts_of
 from .ctph import INVERSE, PRIME, _power
 
 LENGTH, GRAM = 100, 32
+#: Grams that count as hot at most, how often they must occur in the sample of one document in SAMPLE, and salts of each.
+HOT, LEAST_HOT, SAMPLE, SALTS = 10_000, 32, 64, 256
 WINDOW = LENGTH - GRAM + 1
 #: Distinct pieces of a gram that are sorted together; pieces of a collection; windows of a block.
 GROUP, COLLECTION, BLOCK = 48, 1500, 8
@@ -188,35 +194,67 @@ def _runs(rows: np.ndarray) -> np.ndarray:
     return np.stack([rows[first, 0], rows[first, 1], rows[last, 1]], 1)
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
-    """gram, piece, doc_id, th, start, many, lead for every piece of the documents."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _hot(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes of grams that are frequent in a sample of documents."""
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            doc, start, many, lead, gram, piece = pieces_of(texts_of(batch))
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(piece), batch.column("doc_id").take(doc), batch.column("th").take(doc), pa.array(start), pa.array(many), pa.array(lead)], names=["gram", "piece", "doc_id", "th", "start", "many", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(pieces_of(texts_of(batch))[4])], names=["gram"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "gram long")
+    most = some.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_HOT).orderBy(F.desc("n"), "gram").limit(HOT).collect()
+    return np.sort(np.array([r["gram"] for r in most], np.int64))
+
 
-    return docs.mapInArrow(run, f"gram long, piece long, doc_id {id_type}, th long, start long, many long, lead long")
+def _pieces(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """gram, salt, piece, doc_id, th and at (start, many and lead in one number) for every piece of the documents.
 
+    salt: 0; above 0 for a hot gram; below 0 for a piece that is known to be a copy already (its gram is then any number).
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-def _grams(docs: DataFrame) -> DataFrame:
     def run(batches):
+        hot, least = shared.value, {}
         for batch in chunks(batches, limit=CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(pieces_of(texts_of(batch))[4])], names=["gram"])
+            doc, start, many, lead, gram, piece = pieces_of(texts_of(batch))
+            salt = np.zeros(len(gram), np.int64)
+            if len(hot):
+                where = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram)
+                salt[where] = 1 + piece[where] % SALTS
+                ids, th = batch.column("doc_id").to_pylist() if len(where) else [], batch.column("th").to_pylist()
+                for k, d, s, g, p in zip(where.tolist(), doc[where].tolist(), start[where].tolist(), gram[where].tolist(), piece[where].tolist(), strict=True):
+                    own, key = (ids[d] is None, 0 if ids[d] is None else ids[d], th[d], s), (g, p)
+                    if key in least and least[key] <= own:
+                        salt[k] = -1
+                    else:
+                        least[key] = own
+                copies = np.flatnonzero(salt < 0)
+                gram[copies] = _mixed(gram[copies].view(np.uint64) + doc[copies].astype(np.uint64) * ODD + start[copies].astype(np.uint64)).view(np.int64)
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(salt), pa.array(piece), batch.column("doc_id").take(doc), batch.column("th").take(doc), pa.array(start << 16 | many << 8 | lead)], names=["gram", "salt", "piece", "doc_id", "th", "at"])
 
-    return docs.select("text").mapInArrow(run, "gram long")
+    return docs.mapInArrow(run, f"gram long, salt long, piece long, doc_id {id_type}, th long, at long")
 
 
 ORDER = ("no_id", "doc_id", "th", "start")
 
 
+def _met(pieces: DataFrame) -> DataFrame:
+    """The pieces that are copies of an earlier one, and of grams with several distinct pieces the first of each."""
+    w = W.partitionBy("gram", "salt")
+    before = F.lag("piece").over(w.orderBy("piece", F.col("doc_id").isNull(), "doc_id", "th", "at"))
+    rows = pieces.withColumn("copy", (F.col("salt") < 0) | F.coalesce(before == F.col("piece"), F.lit(False)))
+    kinds = F.when(F.col("salt") > 0, GROUP + 1).otherwise(F.sum(F.when(F.col("copy"), 0).otherwise(1)).over(w))
+    rows = rows.withColumn("kinds", kinds.cast("long")).filter("copy OR kinds > 1")
+    start, many, lead = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
+    return rows.select("gram", "kinds", "copy", "doc_id", "th", start.alias("start"), many.alias("many"), lead.alias("lead"))
+
+
 def _sieved(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``docs`` with _hit: false where the Bloom filter of ``keyed``'s documents rules the document out."""
+    """``docs`` with _hit: false where no row of ``keyed`` is the document's."""
     key = F.xxhash64("doc_id", "th")
-    keys = keyed.select(key.alias("_key"))
-    return bloom.tested(docs.withColumn("_own", key), "_own", *bloom.built(keys, "_key", keys.count())).drop("_own")
+    return bloom.sieved(docs.withColumn("_own", key), "_own", keyed.select(key.alias("_key")), "_key").drop("_own")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
@@ -228,19 +266,10 @@ def _with_lists(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
 def removed_spans(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
     """doc_id, th, spans (array of start and end, unmerged) for documents with repeated strings. docs: doc_id, text, th."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    repeated = cut(_grams(docs).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    found = bloom.tested(_pieces(docs), "gram", *bloom.built(repeated, "gram", repeated.count())).filter("_hit").drop("_hit")
-    found = table(found).withColumn("no_id", F.col("doc_id").isNull())
-    firsts = table(found.groupBy("gram", "piece").agg(F.min(F.struct(*ORDER)).alias("first"), F.max("many").alias("many"), F.max("lead").alias("lead"), F.count("*").alias("n")))
-    other = firsts.filter("n > 1").select(F.col("gram").alias("_gram"), F.col("piece").alias("_piece"), "first")
-    held = bloom.tested(found, "piece", *bloom.built(other, "_piece", other.count())).filter("_hit").drop("_hit")
-    copies = held.join(other, (F.col("gram") == F.col("_gram")) & (F.col("piece") == F.col("_piece"))).filter(F.struct(*ORDER) > F.col("first"))
-    spans = copies.select("doc_id", "th", "start", (F.col("start") + F.col("many") + LENGTH - 1).alias("end"))
-
-    shared = table(firsts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("_gram"), "kinds"))
-    kept = bloom.tested(firsts, "gram", *bloom.built(shared, "_gram", shared.count())).filter("_hit").drop("_hit")
-    shared = kept.join(shared, F.col("gram") == F.col("_gram")).select("gram", "kinds", "first.doc_id", "first.th", "first.start", "many", "lead")
-    wanted = cut(shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "kinds", "start", "many", "lead")).alias("wanted")))
+    found = table(_met(_pieces(docs, _hot(docs))))
+    spans = found.filter("copy").select("doc_id", "th", "start", (F.col("start") + F.col("many") + LENGTH - 1).alias("end"))
+    shared = found.filter("NOT copy")
+    wanted = table(shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "kinds", "start", "many", "lead")).alias("wanted")))
 
     def slices(batches):
         for batch in chunks(batches, limit=CHUNK):
@@ -272,18 +301,18 @@ def removed_spans(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
                     k += 1
                 if k == len(held):
                     break
-                yield told(held[:k])
+                yield told(held[:k], batch.schema.field("doc_id").type)
                 held = held[k:]
         if held:
-            yield told(held)
+            yield told(held, batch.schema.field("doc_id").type)
 
-    def told(rows):
-        order = {key: k for k, key in enumerate(sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["th"]) for r in rows}))}
-        document = np.array([order[r["doc_id"] is None, r["doc_id"] or 0, r["th"]] for r in rows])
+    def told(rows, type_):
+        key = lambda r: (r["doc_id"] is None, 0 if r["doc_id"] is None else r["doc_id"], r["th"])
+        order = {x: k for k, x in enumerate(sorted({key(r) for r in rows}))}
+        document = np.array([order[key(r)] for r in rows])
         start = np.array([r["start"] for r in rows])
         runs = _runs(repeated_windows([r["data"] for r in rows], document, start, np.array([r["lead"] for r in rows])))
         who = runs[:, 0].tolist()
-        type_ = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type)
         return pa.RecordBatch.from_arrays([pa.array([rows[k]["doc_id"] for k in who], type_), pa.array([rows[k]["th"] for k in who], pa.int64()), pa.array(start[runs[:, 0]] + runs[:, 1]), pa.array(start[runs[:, 0]] + runs[:, 2] + LENGTH)], names=["doc_id", "th", "start", "end"])
 
     few = taken.filter(F.col("kinds") <= GROUP).select("gram", "doc_id", "th", "start", "lead", "data")

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from rillstone.llm import suffixes
+from pyspark.sql import functions as F
+
+from rillstone.llm import bloom, suffixes
 
 
 def plain(rows):
@@ -29,16 +31,32 @@ def told(df):
     return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("group", [1, 48])
-def test_against_brute_force(spark, docs_of, monkeypatch, group):
+@pytest.mark.parametrize(("group", "hot", "capacity"), [(1, False, 1 << 22), (48, False, 1 << 22), (48, True, 0)])
+def test_against_brute_force(spark, docs_of, monkeypatch, group, hot, capacity):
+    """Both ways of comparing pieces; every frequent gram taken for hot; documents met with and without the Bloom filter."""
     monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(bloom, "CAPACITY", capacity)
+    if hot:
+        monkeypatch.setattr(suffixes, "SAMPLE", 1)
+        monkeypatch.setattr(suffixes, "LEAST_HOT", 3)
     draw = random.Random(5)
     words = lambda n: " ".join(draw.choice(["der", "die", "été", "und", "qx", "lorem", "ipsum"]) + str(draw.randrange(90)) for _ in range(n))
     passage = words(40)
     rows = [(k, words(20) + " " + passage[draw.randrange(30) :] + " " + words(20)) for k in range(40)]
     copy = words(120)
     rows += [(50 + k, copy) for k in range(5)] + [(60, copy[:200] + "!" + copy[201:]), (61, "a" * 700), (62, "ab" * 300), (63, "x" * 99), (64, None), (65, ""), (66, "a" * 100)]
+    draw.shuffle(rows)
     assert told(suffixes.deduplicated(docs_of(rows))) == plain(rows)
+    assert bool(len(suffixes._hot(docs_of(rows).selectExpr("doc_id", "text", "0L AS th")))) == hot
+
+
+def test_ids_of_other_types(spark, docs_of):
+    same = "q" + "zy" * 75
+    rows = [("b", same), ("a", same + "!"), ("", same), (None, same), ("c", "unlike")]
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    first = got[""]  # within it all but the first two starts repeat
+    assert got["b"] == got[None] == 151 and got["a"] >= 151 and 0 < first < 151 and got["c"] == 0
+    assert {r["n_removed"] for r in suffixes.deduplicated(docs_of([(1, "alone")]).withColumn("doc_id", F.lit("x"))).collect()} == {0}
 
 
 def test_edges(spark, docs_of, edge):
