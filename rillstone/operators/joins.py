@@ -10,24 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: How many times the tolerance a bucket of a nearest-in-time join is wide.
+BUCKETS = 64
+
 
 def nearest(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tolerance: float) -> DataFrame:
     """Each row of ``left`` with the ``value`` of the nearest row of ``right`` within ``tolerance``; the later wins a tie.
 
-    One union sorted by time: the last right row so far and the next one are the only candidates. No row is multiplied.
+    Time is cut in buckets many times as wide as the tolerance; a right row also goes to a neighbouring bucket if it is
+    within reach of it. In a bucket of a key one union sorted by time gives the last right row so far and, read backwards,
+    the next one: the only candidates. Work is in proportion to the rows, and a key's history is not one task.
     """
-    mine = left.withColumn("_right", F.lit(None).cast("struct<ts:double,value:double>")).withColumn("_side", F.lit(1))
+    width = BUCKETS * max(1.0, float(tolerance))
+    bucket = lambda t: F.floor(t / F.lit(width))
+    mine = left.withColumn("_right", F.lit(None).cast("struct<ts:double,value:double>")).withColumn("_side", F.lit(1)).withColumn("_bucket", bucket(F.col(ts)))
     theirs = right.groupBy(key, ts).agg(F.max(value).alias("_v")).select(key, ts, F.struct(F.col(ts).cast("double").alias("ts"), F.col("_v").cast("double").alias("value")).alias("_right"), F.lit(0).alias("_side"))
+    theirs = theirs.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(ts) - tolerance), bucket(F.col(ts) + tolerance))))
     both = mine.unionByName(theirs, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(ts, "_side")
-    back = F.last("_right", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    both = both.withColumn("_back", back).withColumn("_ahead", ahead).filter("_side = 1")
+    w = W.partitionBy(key, "_bucket")
+    so_far = lambda order: F.last("_right", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("_back", so_far(w.orderBy(ts, "_side"))).withColumn("_ahead", so_far(w.orderBy(F.desc(ts), "_side"))).filter("_side = 1")
     gap_back, gap_ahead = F.col(ts) - F.col("_back.ts"), F.col("_ahead.ts") - F.col(ts)
     pick = F.when(F.col("_back").isNull() | (gap_ahead <= gap_back), F.struct(gap_ahead.alias("gap"), F.col("_ahead.value").alias("value"))).otherwise(F.struct(gap_back.alias("gap"), F.col("_back.value").alias("value")))
     pick = F.when(F.col("_ahead").isNull(), F.struct(gap_back.alias("gap"), F.col("_back.value").alias("value"))).otherwise(pick)
     both = both.withColumn("_pick", pick)
-    return both.withColumn("nearest", F.when(F.col("_pick.gap") <= tolerance, F.col("_pick.value"))).drop("_right", "_side", "_back", "_ahead", "_pick")
+    return both.withColumn("nearest", F.when(F.col("_pick.gap") <= tolerance, F.col("_pick.value"))).drop("_right", "_side", "_bucket", "_back", "_ahead", "_pick")
 
 
 def last_before(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, name: str = "as_of") -> DataFrame:

@@ -58,3 +58,17 @@ def trailing_rows(key: str, order: list[str], n: int, current: bool = True):
 def modulo_deltas(counter: str, w, modulus: int = 65536) -> Column:
     """Increase of a counter that wraps around."""
     return F.pmod(F.col(counter) - F.lag(counter).over(w), F.lit(modulus))
+
+
+def quantile(df: DataFrame, key: str, value: str, q: float, name: str) -> DataFrame:
+    """key and the exact, linearly interpolated quantile of its values.
+
+    Equal values are counted first, and the ranks run over the counts: no task holds a key's values, only sorts them.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(key)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_at", (F.sum("_n").over(w) - 1) * F.lit(q))
+    low, high = F.floor("_at"), F.ceil("_at")
+    holds = lambda rank: F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v"))
+    found = ranked.groupBy(key).agg(F.max(holds(low)).alias("_a"), F.max(holds(high)).alias("_b"), F.max("_at").alias("_at"))
+    return found.select(key, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias(name))

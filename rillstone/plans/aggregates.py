@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.stats import correlation, erf, logistic, p_of_r, two_sided, two_sided_sql
 from ..operators.joins import lagged_days
-from ..operators.windows import by, capped_durations
+from ..operators.windows import by, capped_durations, quantile
 from .bindings import DAILY, SESSIONS, SHIPPED, STREAM, daily, sessions, shipped, stream, table
 from .scans import long_metrics
 
@@ -196,7 +196,7 @@ def daily_session_summary(spark, sf):
 @query(f"WITH {STREAM}, {EFFORT}, md AS (SELECT device, median(sec) AS cap FROM z GROUP BY device) SELECT z.device, zone, count(*) AS n, round(sum(least(sec, cap)), 6) AS seconds FROM z JOIN md USING (device) GROUP BY ALL")
 def time_in_zone(spark, sf):
     z = effort_rows(spark, sf)
-    caps = z.groupBy("device").agg(F.percentile("sec", 0.5).alias("cap"))
+    caps = quantile(z, "device", "sec", 0.5, "cap")
     return z.join(caps, "device").groupBy("device", "zone").agg(F.count("*").alias("n"), R(F.sum(F.least("sec", "cap"))).alias("seconds"))
 
 
@@ -211,7 +211,9 @@ def denominator_fit(spark, sf):
 @query(f"WITH {STREAM} SELECT device, count(*) AS n, round(CASE WHEN count(*) >= 600 THEN greatest(quantile_cont(bpm, 0.995), 208 - 0.7 * 35) ELSE 208 - 0.7 * 35 END, 6) AS hr_max FROM s GROUP BY device")
 def hr_max_estimate(spark, sf):
     floor = F.lit(208 - 0.7 * 35)
-    return stream(spark, sf).groupBy("device").agg(F.count("*").alias("n"), R(F.when(F.count("*") >= 600, F.greatest(F.percentile("bpm", 0.995), floor)).otherwise(floor)).alias("hr_max"))
+    s = stream(spark, sf)
+    many = s.groupBy("device").agg(F.count("*").alias("n")).join(quantile(s, "device", "bpm", 0.995, "high"), "device", "left")
+    return many.select("device", "n", R(F.when((F.col("n") >= 600) & F.col("high").isNotNull(), F.greatest("high", floor)).otherwise(floor)).alias("hr_max"))
 
 
 @query(f"""WITH {STREAM}, h AS (SELECT device, t // 3600 AS hour, avg(bpm) AS hr, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT device, avg(hr) AS mean, stddev_pop(hr) AS sd FROM h GROUP BY device)

@@ -12,18 +12,14 @@ from ..operators.joins import day_spine
 from .aggregates import R
 from .bindings import DAILY, daily, stream
 
-FROM = "WHERE day >= DATE '2000-01-01'"
-
-
-def recent(spark, sf):
-    return daily(spark, sf).filter("day >= DATE '2000-01-01'")
+EPOCH = "2000-06-01"
 
 
 #: Half-lives of centre and spread in nights (young ones are shorter), floor of the spread, young nights, clips.
 CENTRE, SPREAD, FLOOR, YOUNG, YOUNG_HALF, INFLATE, WINSOR, HARD = 14, 21, 5.0, 8, 3.0, 2.5, 3.0, 5.0
 
 
-@query(f"""WITH RECURSIVE {DAILY}, q AS (SELECT device, day, price, row_number() OVER (PARTITION BY device ORDER BY day) AS k FROM d {FROM}),
+@query(f"""WITH RECURSIVE {DAILY}, q AS (SELECT device, day, price, row_number() OVER (PARTITION BY device ORDER BY day) AS k FROM d),
 f AS (SELECT device, k, day, price AS base, CAST(100 AS DOUBLE) AS spread, CAST(1 AS BIGINT) AS n FROM q WHERE k = 1
 UNION ALL SELECT q.device, q.k, q.day,
  CASE WHEN f.n >= 8 AND abs(q.price - f.base) > 5 * f.spread THEN f.base ELSE f.base + (1 - power(0.5, 1.0 / CASE WHEN f.n < 8 THEN 3.0 ELSE 14.0 END)) * (least(greatest(q.price, f.base - 3 * f.spread * CASE WHEN f.n < 8 THEN 2.5 ELSE 1 END), f.base + 3 * f.spread * CASE WHEN f.n < 8 THEN 2.5 ELSE 1 END) - f.base) END,
@@ -47,27 +43,27 @@ def ewma_baseline(spark, sf):
         return F.when(n == 0, first).otherwise(later)
 
     start = F.struct(F.lit(0.0).alias("base"), F.lit(0.0).alias("spread"), F.lit(0).cast("long").alias("n"))
-    f = states(recent(spark, sf), "device", "day", ["price"], start, step)
+    f = states(daily(spark, sf), "device", "day", ["price"], start, step)
     n = F.col("state.n")
     return f.select("device", "day", R("state.base", 4).alias("base"), R("state.spread", 4).alias("spread"), n.alias("n"), F.when(n < 4, "calibrating").when(n < 14, "provisional").otherwise("trusted").alias("status"))
 
 
-@query(f"""WITH RECURSIVE {DAILY}, q AS (SELECT device, day, price, row_number() OVER (PARTITION BY device ORDER BY day) AS k FROM d {FROM} AND day >= DATE '2000-06-01'),
-f AS (SELECT device, k, day, price AS base FROM q WHERE k = 1 UNION ALL SELECT q.device, q.k, q.day, f.base + (1 - power(0.5, 1.0 / 14)) * (q.price - f.base) FROM f JOIN q ON q.device = f.device AND q.k = f.k + 1) SELECT device, day, round(base, 4) AS base FROM f""", days="day")
+@query(f"""WITH RECURSIVE {DAILY}, q AS (SELECT device, day, price, day >= DATE '{EPOCH}' AS since, row_number() OVER (PARTITION BY device, day >= DATE '{EPOCH}' ORDER BY day) AS k FROM d),
+f AS (SELECT device, since, k, day, price AS base FROM q WHERE k = 1 UNION ALL SELECT q.device, q.since, q.k, q.day, f.base + (1 - power(0.5, 1.0 / 14)) * (q.price - f.base) FROM f JOIN q ON q.device = f.device AND q.since = f.since AND q.k = f.k + 1) SELECT device, day, since, round(base, 4) AS base FROM f""", days="day")
 def baseline_since_epoch(spark, sf):
-    """A fold that starts anew at an epoch: nights before it are dropped."""
-    rows = recent(spark, sf).filter("day >= DATE '2000-06-01'")
-    f = states(rows, "device", "day", ["price"], F.lit(None).cast("double"), lambda s, row: F.when(s.isNull(), row["price"]).otherwise(s + (1 - 0.5 ** (1.0 / 14)) * (row["price"] - s)))
-    return f.select("device", "day", R("state", 4).alias("base"))
+    """A fold that starts anew at an epoch: nights before it do not reach those since."""
+    rows = daily(spark, sf).withColumn("since", F.col("day") >= F.lit(EPOCH).cast("date")).withColumn("part", F.struct("device", "since"))
+    f = states(rows, "part", "day", ["price"], F.lit(None).cast("double"), lambda s, row: F.when(s.isNull(), row["price"]).otherwise(s + (1 - 0.5 ** (1.0 / 14)) * (row["price"] - s)))
+    return f.select("part.device", "day", "part.since", R("state", 4).alias("base"))
 
 
-@query(f"""WITH RECURSIVE {DAILY}, r AS (SELECT device, min(day) AS a, max(day) AS b FROM d {FROM} GROUP BY device), sp AS (SELECT device, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r), x AS (SELECT sp.device, sp.day, coalesce(price, 0) AS load FROM sp LEFT JOIN d USING (device, day)),
+@query(f"""WITH RECURSIVE {DAILY}, r AS (SELECT device, min(day) AS a, max(day) AS b FROM d GROUP BY device), sp AS (SELECT device, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r), x AS (SELECT sp.device, sp.day, coalesce(price, 0) AS load FROM sp LEFT JOIN d USING (device, day)),
 q AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY day) AS k FROM x), p AS (SELECT device, avg(load) AS prime FROM q WHERE k <= 7 GROUP BY device),
 f AS (SELECT q.device, k, day, prime AS slow, prime AS fast FROM q JOIN p USING (device) WHERE k = 7 UNION ALL SELECT q.device, q.k, q.day, f.slow + (1 - exp(-1.0 / 42)) * (load - f.slow), f.fast + (1 - exp(-1.0 / 7)) * (load - f.fast) FROM f JOIN q ON q.device = f.device AND q.k = f.k + 1)
 SELECT device, day, round(slow, 4) AS fitness, round(fast, 4) AS fatigue, round(slow - fast, 4) AS form FROM f""", days="day")
 def training_load(spark, sf):
     """Two exponential averages (42 and 7 days) over a gapless calendar, both from the mean of the first week."""
-    d = recent(spark, sf)
+    d = daily(spark, sf)
     x = day_spine(d, "device").join(d, ["device", "day"], "left").select("device", "day", F.coalesce("price", F.lit(0.0)).alias("load"))
 
     def step(s, row):

@@ -120,11 +120,11 @@ def focal_points(spark, sf):
     return prioritised(c, ["device", "week"], [F.desc(F.abs("change")), "metric"]).filter(F.abs("change") >= 0.5).select("device", "week", "metric", R("change").alias("change"))
 
 
-@query(f"""WITH {DAILY}, f AS (SELECT device, count(*) AS days, avg(price) / 100 AS a, avg(n) AS b, avg(urgent) AS c FROM d WHERE day >= DATE '2000-01-01' GROUP BY device), g AS (SELECT *, (0.05 * (a - 4) + 0.03 * (b - 2) + 0.10 * (c - 0.5)) * 0.75 / (0.6931471805599453 / 8) AS years FROM f)
+@query(f"""WITH {DAILY}, f AS (SELECT device, count(*) AS days, avg(price) / 100 AS a, avg(n) AS b, avg(urgent) AS c FROM d GROUP BY device), g AS (SELECT *, (0.05 * (a - 4) + 0.03 * (b - 2) + 0.10 * (c - 0.5)) * 0.75 / (0.6931471805599453 / 8) AS years FROM f)
 SELECT device, days, round(least(90, greatest(20, 40 + years)), 6) AS body_age, round(least(100, greatest(0, 50 - 2.5 * years)), 6) AS vitality FROM g WHERE days >= 3""")
 def body_age(spark, sf):
     """Summed logarithms of hazards, shrunk for overlap, as years; and a score from them."""
-    f = daily(spark, sf).filter("day >= DATE '2000-01-01'").groupBy("device").agg(F.count("*").alias("days"), (F.avg("price") / 100).alias("a"), F.avg("n").alias("b"), F.avg("urgent").alias("c")).filter("days >= 3")
+    f = daily(spark, sf).groupBy("device").agg(F.count("*").alias("days"), (F.avg("price") / 100).alias("a"), F.avg("n").alias("b"), F.avg("urgent").alias("c")).filter("days >= 3")
     years = (0.05 * (F.col("a") - 4) + 0.03 * (F.col("b") - 2) + 0.10 * (F.col("c") - 0.5)) * 0.75 / (0.6931471805599453 / 8)
     return f.select("device", "days", R(F.least(F.lit(90.0), F.greatest(F.lit(20.0), 40 + years))).alias("body_age"), R(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 - 2.5 * years))).alias("vitality"))
 

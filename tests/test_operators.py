@@ -58,3 +58,24 @@ def test_second_decode_holds_early_rem_back():
     assert set(viterbi(e)) == {LABELS.index("rem")}
     labels = guarded(e, t)
     assert LABELS.index("rem") not in labels[5:55] and (labels[70:] == LABELS.index("rem")).all()
+
+
+def test_nearest_reaches_over_bucket_edges_and_quantiles_interpolate(spark):
+    import random
+
+    import numpy as np
+
+    from rillstone.operators import joins, windows
+
+    draw = random.Random(3)
+    left = [(draw.randrange(3), draw.randrange(5000)) for _ in range(300)]
+    right = [(draw.randrange(3), draw.randrange(5000), float(draw.randrange(100))) for _ in range(200)]
+    got = joins.nearest(spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(left)], "k long, t long, i long"), spark.createDataFrame(right, "k long, t long, v double"), "k", "t", "v", 3)
+    found = {r["i"]: r["nearest"] for r in got.collect()}
+    assert len(found) == len(left) and sum(v is not None for v in found.values()) > 20
+    for i, (k, t) in enumerate(left):
+        near = sorted((abs(t - u), -u, -v) for h, u, v in right if h == k and abs(t - u) <= 3)
+        assert found[i] == (-near[0][2] if near else None)
+    q = windows.quantile(spark.createDataFrame(right, "k long, t long, v double"), "k", "v", 0.995, "q").collect()
+    for r in q:
+        assert abs(r["q"] - np.quantile([v for k, _, v in right if k == r["k"]], 0.995)) < 1e-9
