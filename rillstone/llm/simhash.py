@@ -38,8 +38,8 @@ HALF = 0xFFFFFFFF
 STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 80, 40, 6
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: With how many of a large group its members are compared before all pairs that are not connected yet.
-LEADERS = (1, 8)
+#: Rounds in which parts of large groups are compared by one member each.
+MERGES = 2
 
 
 def shingled(texts: list[bytes], size: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,22 +209,26 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """node, root of texts that are linked: components of all pairs that share a band and are similar on whole texts.
 
-    Members of groups above ``bucket`` are first compared with a few of their group. Then of each group all pairs that
-    are not connected yet are compared; of these each has a member outside the group's largest component.
+    In groups above ``bucket`` a text is first compared with one member alone, the head of its largest group. Then, for
+    ``MERGES`` rounds, of each part of a group that is not connected to its largest part one member is compared with one of
+    that part. At last of every group all pairs that are not connected yet are compared; of these each has a member outside
+    the group's largest part. So a group of near copies costs about as many comparisons as it has members.
     """
     keyed = prints.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     met = table(keyed.join(sizes, "key"))
     sets = shingle_sets(docs, met.select("node").distinct())
     edges, large = None, met.filter(F.col("n") > bucket)
-    for many in LEADERS if large.limit(1).count() else ():
-        drawn = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(many))) == 0
-        heads = large.filter((F.col("node") == F.col("head")) | (F.lit(many > 1) & drawn)).select("key", F.col("node").alias("v"))
-        pairs = large.select("key", F.col("node").alias("u")).join(heads, "key").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        if edges is not None:
-            pairs = pairs.join(edges, ["u", "v"], "left_anti")
-        found = similar(pairs, sets)
-        edges = found if edges is None else edges.unionByName(found)
+    pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    if large.limit(1).count():
+        heads = large.groupBy("node").agg(F.min_by("head", F.struct(-F.col("n"), "key")).alias("head"))
+        edges = similar(heads.filter("node <> head").select(*pair("node", "head")), sets)
+        for k in range(MERGES):
+            parts = large.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+            parts = parts.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("one"))
+            most = parts.groupBy("key").agg(F.max(F.struct("n", "root", "one")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "most")
+            pairs = parts.join(most, "key").filter(F.col("root") != F.col("most.root")).select(*pair("one", "most.one"))
+            edges = edges.unionByName(similar(pairs, sets))
     own = F.col("node")
     if edges is not None:
         roots = components(edges)
