@@ -12,7 +12,7 @@ a fold, so that a group of copies with one label does not teach its words. Every
 its whole text.
 
 Defined results: null and empty texts have no words and get the base rates; labels that are null, or whose document is
-missing, are not used; without labels every probability is 0.5 and nothing is toxic (the rule is above 0.5); repeated
+missing, are not used; of documents with equal ids one text is learned from; without labels every probability is 0.5 and nothing is toxic (the rule is above 0.5); repeated
 rows are each scored; an empty table gives an empty result.
 """
 
@@ -55,8 +55,10 @@ def sketch(data: bytes) -> int:
 def labelled_words(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """fault, toxic, weight, fold and the distinct words of a bounded set of labelled rows."""
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("fault"), (F.col("toxic") == 1).alias("toxic"))
-    chosen = bounded(chosen, "_id", most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("fault", "toxic", "text")
+    chosen = bounded(chosen.distinct(), "_id", most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # Of documents with equal ids one text is learned from, so that no more rows come than labels.
+    rows = rows.groupBy("_id", "fault", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("fault", "toxic", "text")
 
     def run(batches):
         for batch in chunks(batches):
