@@ -40,6 +40,8 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), np.uin
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds in which parts of large groups are compared by one member each.
 MERGES = 2
+#: Bits of a sketch of a set of shingles.
+SKETCH = 1024
 
 
 def shingled(texts: list[bytes], size: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +181,10 @@ def banded(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and the set of its shingles' hashes, for the texts of ``nodes``."""
+    """node, the set of its shingles' hashes, their number and their sketch, for the texts of ``nodes``.
+
+    A sketch has a bit for each value of ten bits of a hash: set if an odd number of hashes have it.
+    """
     source = docs.select("text", _node().alias("node")).join(nodes, "node", "left_semi")
 
     def run(batches):
@@ -188,10 +193,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sets, at = [np.zeros(0, np.int64)] * batch.num_rows, np.flatnonzero(some)
             for k, a, n in zip(at.tolist(), offset.tolist(), each.tolist(), strict=True):
                 sets[k] = np.unique(hashes[a : a + n]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            odd = np.stack([np.bincount(x & (SKETCH - 1), minlength=SKETCH) & 1 for x in sets]).astype(np.uint8)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, SKETCH // 64, dtype=np.int32)), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), sketches], names=["node", "hashes", "size", "sketch"])
 
-    rows = source.mapInArrow(run, "node long, hashes array<long>")
-    return table(rows.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    rows = source.mapInArrow(run, "node long, hashes array<long>, size long, sketch array<long>")
+    return table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("hashes", "size", "sketch"))))
 
 
 def _node():
@@ -199,11 +207,18 @@ def _node():
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of texts whose shingle sets have a Jaccard similarity of SIMILAR percent at least."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
-    both = F.size(F.array_intersect("_u", "_v"))
-    size = F.size("_u") + F.size("_v")
-    return cut(pairs.distinct().join(b, "v").join(a, "u").filter(100 * both >= SIMILAR * (size - both)).select("u", "v"))
+    """Those of the pairs (u, v) of texts whose shingle sets have a Jaccard similarity of SIMILAR percent at least.
+
+    Sketches go first: their bits differ in no more places than the sets in members, so a pair whose sketches differ in
+    more than the similarity allows is none, and only the others' sets are brought together.
+    """
+    side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"_{c}_{x}") for c in columns))
+    met = lambda df, *columns: df.join(side("v", *columns), "v").join(side("u", *columns), "u")
+    apart = sum((F.bit_count(F.col("_sketch_u")[k].bitwiseXOR(F.col("_sketch_v")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    may = met(pairs.distinct(), "size", "sketch").filter((100 + SIMILAR) * apart <= (100 - SIMILAR) * (F.col("_size_u") + F.col("_size_v"))).select("u", "v")
+    both = F.size(F.array_intersect("_hashes_u", "_hashes_v"))
+    size = F.size("_hashes_u") + F.size("_hashes_v")
+    return cut(met(may, "hashes").filter(100 * both >= SIMILAR * (size - both)).select("u", "v"))
 
 
 def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -122,3 +122,16 @@ def test_rows_of_one_id_with_other_texts_are_kept_apart(spark, docs_of):
     rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (1, "q r s t u v w"), (2, "a b c d e f g")]
     got = simhash.keep_one(spark, docs_of(rows), "").select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [(1, "a b c d e f g"), (1, "q r s t u v w")]
+
+
+def test_sketches_rule_out_no_similar_pair(spark, docs_of):
+    """Every pair of texts from far below to above the similarity, the border included, against plain sets."""
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[: 60 - k] + [f"x{draw.randrange(10**6)}" for _ in range(k)]) for k in range(24)] + [""]
+    docs = docs_of(list(enumerate(texts)))
+    nodes = docs.select("text", simhash._node().alias("node"))
+    node = {r["text"]: r["node"] for r in nodes.collect()}
+    pairs = [(node[a], node[b]) for a, b in combinations(texts, 2)]
+    got = simhash.similar(spark.createDataFrame(pairs, "u long, v long"), simhash.shingle_sets(docs, nodes.select("node").distinct())).collect()
+    assert {(r["u"], r["v"]) for r in got} == {(node[a], node[b]) for a, b in combinations(texts, 2) if jaccard(a, b) >= 0.8}
