@@ -38,8 +38,10 @@ HALF = 0xFFFFFFFF
 STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 80, 40, 6
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rounds in which parts of large groups are compared by one member each.
-MERGES = 2
+#: Rounds in which the texts of a large group that are left over get a heart of their own.
+HEARTS = 2
+#: Parts in which the rows of a group meet what is kept once a group.
+SALTS = 16
 #: Bits of a sketch of a set of shingles.
 SKETCH = 1024
 
@@ -221,40 +223,92 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(met(may, "hashes").filter(100 * both >= SIMILAR * (size - both)).select("u", "v"))
 
 
+def _pair(x, y):
+    return F.greatest(x, y).alias("u"), F.least(x, y).alias("v")
+
+
+def _dealt(once: DataFrame) -> DataFrame:
+    """Rows that are kept once a group, for each part of the group."""
+    return once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every member (grp, node, hashes, size) by its difference from its group's heart; and ranks of (grp, e).
+
+    The heart holds the shingles of more than half the members. ``diff`` is what a member and the heart do not share,
+    ``dist`` its size, ``f`` the distance beyond what half a pair may have, ``low`` the member with the least ``f``.
+    A rank is the number of members whose differences hold e; ranks of one are left out.
+    """
+    counts = members.select("grp", F.explode("hashes").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = table(counts.join(members.groupBy("grp").agg(F.count("*").alias("all")), "grp"))
+    common = F.col("n") * 2 > F.col("all")
+    hearts = counts.filter(common).groupBy("grp").agg(F.collect_list("e").alias("heart"))
+    own = members.withColumn("salt", F.pmod("node", F.lit(SALTS))).join(_dealt(hearts), ["grp", "salt"], "left")
+    own = own.withColumn("heart", F.coalesce("heart", F.array().cast("array<long>")))
+    own = own.withColumn("diff", F.concat(F.array_except("hashes", "heart"), F.array_except("heart", "hashes"))).withColumn("dist", F.size("diff").cast("long"))
+    far = table(own.select("grp", "salt", "node", "diff", "dist", ((100 + SIMILAR) * F.col("dist") - (100 - SIMILAR) * F.col("size")).alias("f")))
+    lows = far.groupBy("grp").agg(F.min(F.struct("f", "node")).alias("low"))
+    ranks = counts.select("grp", "e", F.when(common, F.col("all") - F.col("n")).otherwise(F.col("n")).alias("rank")).filter("rank > 1")
+    return far.join(_dealt(lows), ["grp", "salt"]).drop("salt"), ranks
+
+
+def group_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (u, v) between members (grp, node, hashes, size) that connect exactly what similar pairs of a group connect.
+
+    Two sets differ in no more than their distances from the heart together, so members with f(x) + f(low) <= 0 are
+    similar to ``low`` for certain, and any pair with f(x) + f(y) <= 0 consists of such members: a star, no comparison.
+    Any other similar pair shares (f(x) + f(y)) / 2 (100 + SIMILAR) elements of the differences at least, so it meets at one
+    among the rarest of each side; places in that order rule out most of what meets. Only pairs that remain are compared.
+    Members that no star holds get a heart of their own (several texts may have been copied); two of one star are not
+    compared.
+    """
+    share = lambda x, y: F.greatest(F.lit(1), F.ceil((x + y) / (2 * (100 + SIMILAR))))
+    f, low = F.col("f"), F.col("low.f")
+    first, ranks = apart(members)
+    far, rest, stars = first, members, None
+    for k in range(HEARTS):
+        if k:
+            far = apart(rest)[0]
+        held = table(far.filter(f + low <= 0).select("grp", "node", F.col("low.node").alias("star")))
+        stars = held if stars is None else stars.unionByName(held)
+        rest = rest.join(held.select("node"), "node", "left_anti")
+    edges = stars.filter("node <> star").select(*_pair("node", "star"))
+    sorted_ = first.select("node", "grp", "f", "dist", low.alias("low"), F.explode("diff").alias("e")).join(ranks, ["grp", "e"])
+    sorted_ = sorted_.groupBy("node", "grp", "f", "dist", "low").agg(F.sort_array(F.collect_list(F.struct("rank", "e"))).alias("es"))
+    sorted_ = sorted_.join(stars.select("node", "star"), "node", "left")
+    placed = sorted_.select("*", F.posexplode("es").alias("at", "one")).withColumn("left", F.size("es") - F.col("at"))
+    low = F.col("low")
+    wide = (f + low > 0) & (F.col("left") >= share(f, low))
+    short = F.col("left") >= share(f, F.greatest(f, 1 - low))
+    placed = table(placed.select("grp", F.col("one.e").alias("e"), "node", "f", "left", F.coalesce("star", "node").alias("star"), wide.alias("wide"), short.alias("short")).filter("wide OR short"))
+    x, y = (placed.filter(role).select("grp", "e", *(F.col(c).alias(f"{c}_{role}") for c in ("node", "f", "left", "star"))) for role in ("wide", "short"))
+    above = F.struct("f_wide", "node_wide") > F.struct("f_short", "node_short")
+    enough = F.least("left_wide", "left_short") >= share(F.col("f_wide"), F.col("f_short"))
+    met = x.join(y, ["grp", "e"]).filter(above & enough & (F.col("star_wide") != F.col("star_short")))
+    return edges.unionByName(similar(met.select(*_pair("node_wide", "node_short")), sets))
+
+
 def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """node, root of texts that are linked: components of all pairs that share a band and are similar on whole texts.
 
-    In groups above ``bucket`` a text is first compared with one member alone, the head of its largest group. Then, for
-    ``MERGES`` rounds, of each part of a group that is not connected to its largest part one member is compared with one of
-    that part. At last of every group all pairs that are not connected yet are compared; of these each has a member outside
-    the group's largest part. So a group of near copies costs about as many comparisons as it has members.
+    Of keys with ``bucket`` texts at most all pairs are compared. Texts that larger keys tie together form groups, whose
+    pairs ``group_edges`` settles without meeting one by one; those pairs are not compared again.
     """
     keyed = prints.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     met = table(keyed.join(sizes, "key"))
     sets = shingle_sets(docs, met.select("node").distinct())
     edges, large = None, met.filter(F.col("n") > bucket)
-    pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    members = met.filter(F.col("n") <= bucket).select("key", "node")
     if large.limit(1).count():
-        heads = large.groupBy("node").agg(F.min_by("head", F.struct(-F.col("n"), "key")).alias("head"))
-        edges = similar(heads.filter("node <> head").select(*pair("node", "head")), sets)
-        for k in range(MERGES):
-            parts = large.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            parts = parts.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("one"))
-            most = parts.groupBy("key").agg(F.max(F.struct("n", "root", "one")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "most")
-            pairs = parts.join(most, "key").filter(F.col("root") != F.col("most.root")).select(*pair("one", "most.one"))
-            edges = edges.unionByName(similar(pairs, sets))
-    own = F.col("node")
-    if edges is not None:
-        roots = components(edges)
-        met = met.join(roots, "node", "left")
-        own = F.coalesce("root", "node")
-    members = met.select("key", "node", own.alias("root"))
-    blocks = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = blocks.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "main")
-    members = table(members.join(main, "key"))
-    minor = members.filter("root <> main").select("key", F.col("node").alias("v"), F.col("root").alias("other"))
-    pairs = members.join(minor, "key").filter("root <> other").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+        groups = components(large.filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+        groups = table(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "grp"))
+        edges = group_edges(sets.join(groups, "node").select("grp", "node", "hashes", "size"), sets)
+        members = members.join(groups, "node", "left")
+    else:
+        members = members.withColumn("grp", F.lit(None).cast("long"))
+    other = members.select("key", F.col("node").alias("v"), F.col("grp").alias("of_v"))
+    pairs = members.join(other, "key").filter("node > v AND NOT coalesce(grp = of_v, false)").select(F.col("node").alias("u"), "v")
     found = similar(pairs, sets)
     roots = cut(components(found if edges is None else edges.unionByName(found)))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

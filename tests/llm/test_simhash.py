@@ -118,6 +118,38 @@ def test_near_copies_of_the_stage_against_all_pairs(spark, docs_of, bucket, monk
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_by_their_hearts_against_all_pairs(spark, docs_of, seed):
+    """Copies of one or two bases, copies of copies, from one word changed to most; and texts without words."""
+    draw = random.Random(seed)
+    word = lambda: f"w{draw.randrange(40 + 400 * seed)}"
+    bases = [[word() for _ in range(180)]]
+    bases.append([w if k < 148 else word() for k, w in enumerate(bases[0])])
+    texts = ["", " "] + [" ".join(b) for b in bases[seed % 2 :]]
+    for _ in range(110):
+        words = draw.choice([*bases[seed % 2 :], draw.choice(texts).split() or bases[1]])[: draw.choice([180, 180, 140])]
+        for _ in range(draw.choice([1, 1, 2, 3, 5, 30])):
+            words = [*words]
+            words[draw.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    nodes = docs_of(list(enumerate(texts))).select("text", simhash._node().alias("node"))
+    sets = simhash.shingle_sets(nodes, nodes.select("node"))
+    name = {r["node"]: r["text"] for r in nodes.collect()}
+    edges = [(name[r["u"]], name[r["v"]]) for r in simhash.group_edges(sets.selectExpr("7L AS grp", "node", "hashes", "size"), sets).collect()]
+    near = [(a, b) for a, b in combinations(texts, 2) if jaccard(a, b) >= 0.8]
+    assert len(near) > 100 and set(map(frozenset, edges)) <= set(map(frozenset, near))
+
+    def parts(links):
+        root = {t: t for t in texts}
+        find = lambda t: t if root[t] == t else find(root[t])
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {frozenset(t for t in texts if find(t) == r) for r in texts} - {frozenset()}
+
+    assert parts(edges) == parts(near)
+
+
 def test_rows_of_one_id_with_other_texts_are_kept_apart(spark, docs_of):
     rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (1, "q r s t u v w"), (2, "a b c d e f g")]
     got = simhash.keep_one(spark, docs_of(rows), "").select("doc_id", "text").collect()
