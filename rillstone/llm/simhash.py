@@ -186,8 +186,15 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, the set of its shingles' hashes, their number and their sketch, for the texts of ``nodes``.
 
     A sketch has a bit for each value of ten bits of a hash: set if an odd number of hashes have it.
+    Where ``nodes`` says which doc_id is a text's ``least``, only that row serves, so that a text's copies do not move.
     """
-    source = docs.select("text", _node().alias("node")).join(nodes, "node", "left_semi")
+    own, theirs = (F.xxhash64("doc_id", _node()), F.xxhash64("least", "node")) if "least" in nodes.columns else (_node(), F.col("node"))
+    serve = table(nodes.select(theirs.alias("_serves")).distinct())
+    rows = docs.select("text", _node().alias("node"), own.alias("_row"))
+    rows = bloom.sieved(rows, "_row", serve, "_serves").filter("_hit")
+    # Rows that repeat are aggregated before the shuffle; each text is then left in one row.
+    rows = rows.groupBy("_row").agg(F.first("text").alias("text"), F.first("node").alias("node"))
+    source = rows.join(serve, F.col("_row") == F.col("_serves"), "left_semi").select("text", "node")
 
     def run(batches):
         for batch in chunks(batches):
@@ -200,8 +207,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, SKETCH // 64, dtype=np.int32)), pa.array(words.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), sketches], names=["node", "hashes", "size", "sketch"])
 
-    rows = source.mapInArrow(run, "node long, hashes array<long>, size long, sketch array<long>")
-    return table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("hashes", "size", "sketch"))))
+    return table(source.mapInArrow(run, "node long, hashes array<long>, size long, sketch array<long>"))
 
 
 def _node():
@@ -297,7 +303,7 @@ def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> Data
     keyed = prints.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     met = table(keyed.join(sizes, "key"))
-    sets = shingle_sets(docs, met.select("node").distinct())
+    sets = shingle_sets(docs, prints.select("node", "least").join(met.select("node").distinct(), "node", "left_semi"))
     edges, large = None, met.filter(F.col("n") > bucket)
     members = met.filter(F.col("n") <= bucket).select("key", "node")
     if large.limit(1).count():
