@@ -129,19 +129,36 @@ def fit_records(data: bytes) -> list[dict]:
     return out
 
 
-def read_fit(spark: SparkSession, path: str) -> DataFrame:
+def fit_file(points: list[tuple[int, float | None, float | None, float | None, int | None]]) -> bytes:
+    """A FIT file of record messages: (ts, lat, lon, ele, hr) each, what is None as the invalid value of its field."""
+    turns = lambda d: 0x7FFFFFFF if d is None else round(d * 2**31 / 180)
+    body = b"\x40\x00\x00" + struct.pack("<HB", 20, 5) + bytes([253, 4, 0x86, 0, 4, 0x85, 1, 4, 0x85, 2, 2, 0x84, 3, 1, 0x02])
+    for ts, lat, lon, ele, hr in points:
+        body += b"\x00" + struct.pack("<IiiHB", ts - FIT_EPOCH, turns(lat), turns(lon), 0xFFFF if ele is None else round((ele + 500) * 5), 0xFF if hr is None else hr)
+    head = struct.pack("<BBHI", 14, 0x20, 2132, len(body)) + b".FIT"
+    head += struct.pack("<H", crc16(head, start=0))
+    return head + body + struct.pack("<H", crc16(head + body, start=0))
+
+
+def fit_points(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, ts, lat, lon, ele, hr, distance of the records of files, a file a row."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = pd.DataFrame(fit_records(content), columns=["ts", "lat", "lon", "ele", "hr", "distance"])
+            for name, data in zip(frame["path"], frame["content"], strict=True):
+                rows = pd.DataFrame(fit_records(bytes(data)), columns=["ts", "lat", "lon", "ele", "hr", "distance"])
                 rows.insert(0, "path", name)
                 yield rows
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "path string, ts double, lat double, lon double, ele double, hr double, distance double")
+    plain = files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).filter("content IS NOT NULL")
+    rows = plain.mapInPandas(run, "path string, ts double, lat double, lon double, ele double, hr double, distance double")
     return rows.withColumn("ts", F.timestamp_seconds("ts"))
 
 
+def read_fit(spark: SparkSession, path: str) -> DataFrame:
+    return fit_points(spark.read.format("binaryFile").load(path))
+
+
 def decoded_samples(blobs: DataFrame, column: str = "samples") -> DataFrame:
     """A waveform of little-endian 16-bit samples as an array of integers, in native functions."""
     n = F.floor(F.octet_length(column) / 2).cast("int")
@@ -166,6 +183,11 @@ def sqlite_tables(data: bytes) -> list[str]:
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     """The rows of a table of SQLite files, a file a row of work; files without the table give none."""
+    return sqlite_rows(spark.read.format("binaryFile").load(path), table, schema)
+
+
+def sqlite_rows(files: DataFrame, table: str, schema: str, content: str = "content") -> DataFrame:
+    """The rows of a table of SQLite files that a column holds."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,4 +204,4 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> Data
                 yield pd.DataFrame(con.execute(f'SELECT {columns} FROM "{table}"').fetchall(), columns=names)
                 con.close()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return files.select(F.col(content).alias("content")).filter("content IS NOT NULL").mapInPandas(run, schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .binary import fit_file
+
 
 def write_cycles(days: DataFrame, path: str) -> None:
     """Daily rows in the column layout that ``read_cycles`` reads."""
@@ -30,6 +33,19 @@ def route_gpx(points: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="rillstone"><trk><trkseg>'), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
+def route_fit(points: DataFrame, key: str) -> DataFrame:
+    """key and a FIT file of its route (ts, lat, lon, ele, hr); a route is held in one task, so keys should be sessions or days."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def run(route: pd.DataFrame) -> pd.DataFrame:
+        rows = route.sort_values("t").astype(object).where(route.notna(), None)
+        named = rows[["t", "lat", "lon", "ele", "hr"]].itertuples(index=False, name=None)
+        return pd.DataFrame({key: [route[key].iloc[0]], "fit": [fit_file([(int(t), lat, lon, ele, None if hr is None else int(hr)) for t, lat, lon, ele, hr in named])]})
+
+    rows = points.select(key, F.unix_seconds("ts").alias("t"), "lat", "lon", "ele", F.col("hr").cast("int").alias("hr"))
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, fit binary")
+
+
 def decimated(rows: DataFrame, key: str, ts: str, value: str, seconds: int = 30, chunk: int = 3600) -> DataFrame:
     """One mean value per ``seconds``, gathered in arrays of at most ``chunk`` seconds."""
     bins = rows.groupBy(key, F.floor(F.col(ts) / seconds).alias("_bin")).agg(F.avg(value).alias("v"))

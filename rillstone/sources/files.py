@@ -36,15 +36,16 @@ def snake_name(header: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", named).strip("_")
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, quoted_lines: bool = True) -> DataFrame:
     """A delimited file with a header, quoted cells that may hold line ends, any of three delimiters; all cells as text.
 
-    Only the first line is looked at on the driver.
+    Only the first line is looked at on the driver. Without ``quoted_lines`` no cell may hold a line end, and large
+    files are split among tasks.
     """
     head = spark.read.text(path).limit(1).collect()
     if not head:
         return spark.createDataFrame([], "empty string")
-    df = spark.read.csv(path, header=True, sep=delimiter_of(head[0][0]), multiLine=True, quote='"', escape='"', enforceSchema=False)
+    df = spark.read.csv(path, header=True, sep=delimiter_of(head[0][0]), multiLine=quoted_lines, quote='"', escape='"', enforceSchema=False)
     names: list[str] = []
     for c in df.columns:
         n = snake_name(c) or "column"
@@ -83,6 +84,53 @@ def read_cycles(spark: SparkSession, path: str) -> DataFrame:
     ).filter("day IS NOT NULL")
 
 
+def zone_minutes(c: Column) -> Column:
+    """Minutes east of UTC in texts like ``UTC+05:30``; none are 0."""
+    part = lambda k: F.coalesce(F.regexp_extract(c, r"([+-])(\d{1,2}):?(\d{2})?", k).try_cast("int"), F.lit(0))
+    return F.coalesce(F.when(c.contains("-"), -1).otherwise(1) * (part(2) * 60 + part(3)), F.lit(0))
+
+
+def local_seconds(c: Column, zone: Column) -> Column:
+    """Epoch seconds of a wall time of a zone; null if it cannot be read."""
+    wall = F.replace(F.substring(F.trim(c), 1, 19), F.lit("T"), F.lit(" "))
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(wall, F.lit(" +0000")), F.lit("yyyy-MM-dd HH:mm:ss Z"))) - zone_minutes(zone) * 60
+
+
+def read_sleeps(spark: SparkSession, path: str) -> DataFrame:
+    """Sleeps of an exported table, times as epoch seconds; rows without any time are left out."""
+    raw = read_delimited(spark, path)
+    at = lambda c: local_seconds(cell(raw, c), cell(raw, "cycle_timezone"))
+    stages = {"asleep_min": ("asleep_duration_min",), "in_bed_min": ("in_bed_duration_min",), "light_min": ("light_sleep_duration_min",), "deep_min": ("deep_sws_duration_min", "deep_sleep_duration_min"), "rem_min": ("rem_duration_min",), "awake_min": ("awake_duration_min",)}
+    rows = raw.select(
+        at("cycle_start_time").alias("cycle_start"), at("sleep_onset").alias("start_ts"), at("wake_onset").alias("end_ts"), F.coalesce(flag(cell(raw, "nap")), F.lit(False)).alias("is_nap"),
+        *(number(cell(raw, *names)).alias(c) for c, names in stages.items()), (number(cell(raw, "sleep_efficiency_pct")) / 100).alias("efficiency"), number(cell(raw, "respiratory_rate_rpm", "respiratory_rate")).alias("resp_rate"),
+    )
+    return rows.filter("coalesce(cycle_start, start_ts, end_ts) IS NOT NULL")
+
+
+def read_workouts(spark: SparkSession, path: str) -> DataFrame:
+    """Workouts of an exported table: strain 0-21 as 0-100, zones 1 to 5 as percentages; rows without any time are left out."""
+    raw = read_delimited(spark, path)
+    at = lambda c: local_seconds(cell(raw, c), cell(raw, "cycle_timezone"))
+    zones = F.array(*(number(cell(raw, f"hr_zone_{k}_pct", f"zone_{k}_pct", f"hr_zone_{k}_pct_pct")) for k in range(1, 6)))
+    rows = raw.select(
+        at("cycle_start_time").alias("cycle_start"), at("workout_start_time").alias("start_ts"), at("workout_end_time").alias("end_ts"), cell(raw, "activity_name").alias("sport"),
+        (number(cell(raw, "activity_strain")) * 100 / 21).alias("strain"), number(cell(raw, "energy_burned_cal")).alias("energy_kcal"), number(cell(raw, "average_hr_bpm", "average_heart_rate_bpm")).alias("avg_hr"),
+        number(cell(raw, "max_hr_bpm", "max_heart_rate_bpm")).alias("max_hr"), number(cell(raw, "distance_meters", "distance_meter")).alias("distance_m"), zones.alias("zones"),
+    )
+    return rows.filter("coalesce(cycle_start, start_ts, end_ts) IS NOT NULL")
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Journal answers of an exported table; rows without question, answer and notes are left out."""
+    raw = read_delimited(spark, path)
+    rows = raw.select(
+        local_seconds(cell(raw, "cycle_start_time"), cell(raw, "cycle_timezone")).alias("cycle_start"), cell(raw, "question_text", "question").alias("question"),
+        cell(raw, "answered_yes", "answered_yes_no", "answer", "answer_text").alias("answer"), cell(raw, "notes").alias("notes"),
+    )
+    return rows.filter("coalesce(question, answer, notes) IS NOT NULL")
+
+
 def _day(c: Column) -> Column:
     """A day in ISO, d/m/y or d.m.y form."""
     first = F.split(F.trim(c), r"[ T]")[0]
@@ -107,19 +155,19 @@ def health_days(records: DataFrame) -> DataFrame:
     return steps.join(heart, "day", "full").join(weight, "day", "full")
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """ts, lat, lon, ele, hr of the track points of a GPX file."""
+def read_gpx(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """ts, lat, lon, ele, hr of the track points of GPX files, and ``keys``, partition columns of their folders."""
     schema = "_lat double, _lon double, ele double, time string, extensions struct<`gpxtpx:TrackPointExtension`:struct<`gpxtpx:hr`:int>>"
     raw = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
-    points = raw.select(F.try_to_timestamp("time").alias("ts"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "ele", F.col("extensions.`gpxtpx:TrackPointExtension`.`gpxtpx:hr`").alias("hr"))
+    points = raw.select(*keys, F.try_to_timestamp("time").alias("ts"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "ele", F.col("extensions.`gpxtpx:TrackPointExtension`.`gpxtpx:hr`").alias("hr"))
     return points.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col("ts").isNotNull())
 
 
-def read_tcx(spark: SparkSession, path: str) -> DataFrame:
-    """ts, lat, lon, ele, hr, distance of the track points of a TCX file."""
+def read_tcx(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """ts, lat, lon, ele, hr, distance of the track points of TCX files, and ``keys``, partition columns of their folders."""
     schema = "Time string, Position struct<LatitudeDegrees:double,LongitudeDegrees:double>, AltitudeMeters double, DistanceMeters double, HeartRateBpm struct<Value:int>"
     raw = spark.read.format("xml").option("rowTag", "Trackpoint").schema(schema).load(path)
-    return raw.select(F.try_to_timestamp("Time").alias("ts"), F.col("Position.LatitudeDegrees").alias("lat"), F.col("Position.LongitudeDegrees").alias("lon"), F.col("AltitudeMeters").alias("ele"), F.col("HeartRateBpm.Value").alias("hr"), F.col("DistanceMeters").alias("distance")).filter("ts IS NOT NULL")
+    return raw.select(*keys, F.try_to_timestamp("Time").alias("ts"), F.col("Position.LatitudeDegrees").alias("lat"), F.col("Position.LongitudeDegrees").alias("lon"), F.col("AltitudeMeters").alias("ele"), F.col("HeartRateBpm.Value").alias("hr"), F.col("DistanceMeters").alias("distance")).filter("ts IS NOT NULL")
 
 
 def activity(points: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -154,10 +202,14 @@ def read_nutrition(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
-    """day, marker, value, unit of a lab table; a blood pressure ``120/80`` becomes two markers."""
+    """day, marker, value, unit of a lab table; a blood pressure ``120/80`` becomes two markers.
+
+    Where there is no unit of its own, what follows the number of a value is its unit; values without a number are left out.
+    """
     raw = read_delimited(spark, path)
     value = cell(raw, "value", "result")
-    rows = raw.select(_day(cell(raw, "date", "taken_at", "day")).alias("day"), text.snake(cell(raw, "marker", "name", "test")).alias("marker"), value.alias("v"), cell(raw, "unit", "units").alias("unit"))
+    rows = raw.select(_day(cell(raw, "date", "taken_at", "day")).alias("day"), text.snake(cell(raw, "marker", "name", "test")).alias("marker"), value.alias("v"), F.coalesce(cell(raw, "unit", "units"), F.nullif(F.trim(F.regexp_extract(value, r"^[<>]?\s*[0-9.,/]+\s+(.+)$", 1)), F.lit(""))).alias("unit"))
+    rows = rows.withColumn("v", F.regexp_extract("v", r"^[<>]?\s*([0-9.,/ ]*[0-9])", 1))
     pair = F.split("v", "/")
     two = F.array(F.struct(F.lit("systolic").alias("m"), number(F.get(pair, F.lit(0))).alias("x")), F.struct(F.lit("diastolic").alias("m"), number(F.get(pair, F.lit(1))).alias("x")))
     one = F.array(F.struct(F.col("marker").alias("m"), number(F.col("v")).alias("x")))
@@ -175,6 +227,52 @@ def read_ring_sleep(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", F.to_date("day").alias("day"), start.alias("start_ts"), F.unix_timestamp(F.try_to_timestamp("bedtime_end")).alias("end_ts"), F.col("average_hrv").alias("avg_hrv"), F.col("lowest_heart_rate").alias("resting_hr"), spans.alias("stages"))
 
 
+def _positive(c: str) -> Column:
+    return F.when(F.col(c) > 0, F.col(c))
+
+
+def _iso_seconds(c: str) -> Column:
+    return F.unix_timestamp(F.try_to_timestamp(F.col(c)))
+
+
+def read_ring_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Daily activity documents: day, steps, active_kcal, total_kcal; what is not positive is null."""
+    raw = spark.read.json(path, schema="day string, steps int, active_calories double, total_calories double").filter("day IS NOT NULL")
+    return raw.select(F.to_date("day").alias("day"), _positive("steps").alias("steps"), _positive("active_calories").alias("active_kcal"), _positive("total_calories").alias("total_kcal"))
+
+
+def read_ring_readiness(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Daily readiness documents: (day, skin_temp_dev_c, score), and (day, key, value) of the positive contributors."""
+    raw = spark.read.json(path, schema="day string, score int, temperature_deviation double, contributors map<string,double>").filter("day IS NOT NULL")
+    days = raw.select(F.to_date("day").alias("day"), F.col("temperature_deviation").alias("skin_temp_dev_c"), _positive("score").alias("score"))
+    extras = raw.select(F.to_date("day").alias("day"), F.explode("contributors").alias("key", "value")).filter("value > 0")
+    return days, extras.withColumn("key", F.concat(F.lit("readiness_"), "key"))
+
+
+def read_ring_heart(spark: SparkSession, path: str) -> DataFrame:
+    """ts and bpm of heart rate documents; a rate that is not positive is left out."""
+    raw = spark.read.json(path, schema="timestamp string, bpm int")
+    return raw.select(_iso_seconds("timestamp").alias("ts"), "bpm").filter("ts IS NOT NULL AND bpm > 0")
+
+
+def read_ring_workouts(spark: SparkSession, path: str) -> DataFrame:
+    """Workout documents with a span that can be read and is not empty."""
+    raw = spark.read.json(path, schema="start_datetime string, end_datetime string, activity string, source string, calories double, distance double")
+    rows = raw.select(
+        _iso_seconds("start_datetime").alias("start_ts"), _iso_seconds("end_datetime").alias("end_ts"), F.coalesce("activity", F.lit("workout")).alias("sport"),
+        F.coalesce("source", F.lit("ring")).alias("source"), _positive("calories").alias("energy_kcal"), _positive("distance").alias("distance_m"),
+    )
+    return rows.filter("end_ts > start_ts")
+
+
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """session, position, ts and bytes of the frames of captures in JSON, given as hexadecimal text; other text is left out."""
+    raw = spark.read.json(path, schema="session string, frames array<struct<ts:long,hex:string>>")
+    frames = raw.select("session", F.posexplode("frames").alias("position", "f"))
+    plain = F.regexp_replace("f.hex", r"[\s:]", "")
+    return frames.select("session", "position", F.col("f.ts").alias("ts"), F.when(plain.rlike(r"^([0-9A-Fa-f]{2})+$"), F.unhex(plain)).alias("data")).filter("data IS NOT NULL")
+
+
 def read_batches(spark: SparkSession, path: str, streams: list[str]) -> tuple[DataFrame, DataFrame]:
     """Newline-delimited batches, a header line and records: the records of known streams once each, and the rejected."""
     raw = spark.read.json(path, schema="batchId string, stream string, key map<string,string>, data map<string,string>", multiLine=False)

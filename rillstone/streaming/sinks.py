@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_folder
 
 
 def available(rows: DataFrame, mode: str = "append") -> DataFrame:

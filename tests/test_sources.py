@@ -102,3 +102,42 @@ def test_exports(spark):
     assert got == {0: [(0, 70.0)], 3600: [(3690, 90.0)]}
     assert exports.metric_json(spark.sql("SELECT 'a' AS key, DATE'2024-01-02' AS day, 1.5D AS value")).first()["json"] == '[{"day":"2024-01-02","value":1.5}]'
     assert schemas.missing_columns(rows.schema, "device string, t int, z double") == ["t", "z"]
+
+
+def test_export_tables_with_zones_and_gaps(spark, tmp_path):
+    (tmp_path / "sleeps.csv").write_text("Cycle start time,Cycle timezone,Sleep onset,Wake onset,Nap,Deep (SWS) duration (min)\n2024-01-02 00:30:00,UTC-05:30,2024-01-02 00:30:00,,TRUE,12\n,,,,,\n2024-01-03 00:00:00,,,,,\n")
+    got = {r["cycle_start"]: r for r in files.read_sleeps(spark, str(tmp_path / "sleeps.csv")).collect()}
+    assert set(got) == {1704175200, 1704240000}
+    assert got[1704175200]["is_nap"] and got[1704175200]["deep_min"] == 12 and got[1704175200]["end_ts"] is None and not got[1704240000]["is_nap"]
+    (tmp_path / "w.csv").write_text("Workout start time,Activity name,Activity Strain,HR Zone 1 %\n2024-01-02 10:00:00,Run,10.5,40\n,Lost,1,1\n")
+    w = files.read_workouts(spark, str(tmp_path / "w.csv")).collect()
+    assert len(w) == 1 and w[0]["strain"] == 50 and w[0]["zones"] == [40, None, None, None, None]
+    (tmp_path / "j.csv").write_text("Cycle start time,Question text,Answered yes/no,Notes\n2024-01-02 10:00:00,Coffee?,yes,\n2024-01-02 10:00:00,,,\n")
+    assert [(r["question"], r["answer"]) for r in files.read_journal(spark, str(tmp_path / "j.csv")).collect()] == [("Coffee?", "yes")]
+
+
+def test_marker_cells_with_units(spark, tmp_path):
+    (tmp_path / "lab.csv").write_text('Date,Marker,Value\n2024-01-02,A,"1,5 mg/L"\n2024-01-02,B,<0.4 ng/mL\n2024-01-02,C,No data\n2024-01-02,D,118/76 mmHg\n2024-01-02,E,7\n')
+    got = {r["marker"]: (r["value"], r["unit"]) for r in files.read_markers(spark, str(tmp_path / "lab.csv")).collect()}
+    assert got == {"a": (1.5, "mg/L"), "b": (0.4, "ng/mL"), "systolic": (118, "mmHg"), "diastolic": (76, "mmHg"), "e": (7, None)}
+
+
+def test_ring_documents_and_captures(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"day":"2024-01-02","score":80,"temperature_deviation":-0.2,"contributors":{"hrv":70,"sleep":0}}\n{"score":1}\n')
+    days, extras = files.read_ring_readiness(spark, str(tmp_path / "r.json"))
+    assert [(r["score"], r["skin_temp_dev_c"]) for r in days.collect()] == [(80, -0.2)]
+    assert [(r["key"], r["value"]) for r in extras.collect()] == [("readiness_hrv", 70)]
+    (tmp_path / "w.json").write_text('{"start_datetime":"2024-01-02T10:00:00+02:00","end_datetime":"2024-01-02T11:00:00+02:00","calories":-1}\n{"start_datetime":"2024-01-02T10:00:00Z","end_datetime":"2024-01-02T10:00:00Z"}\n{"start_datetime":"never","end_datetime":null}\n')
+    assert [(r["start_ts"], r["sport"], r["energy_kcal"]) for r in files.read_ring_workouts(spark, str(tmp_path / "w.json")).collect()] == [(1704182400, "workout", None)]
+    (tmp_path / "c.json").write_text('{"session":"s","frames":[{"ts":1,"hex":"AA 01:ff"},{"ts":2,"hex":"xyz"},{"ts":3,"hex":null},{"ts":4,"hex":"abc"}]}\n{"session":"t"}\n')
+    assert [(r["position"], bytes(r["data"])) for r in files.read_capture(spark, str(tmp_path / "c.json")).collect()] == [(0, b"\xaa\x01\xff")]
+
+
+def test_fit_files_round_trip():
+    points = [(1704182400, 48.5, 11.25, 500.2, 140), (1704182401, None, None, None, None), (1704182402, -33.0, -70.0, -10.0, 60)]
+    data = binary.fit_file(points)
+    got = binary.fit_records(data)
+    assert [r["ts"] for r in got] == [p[0] for p in points] and [r["hr"] for r in got] == [140, None, 60]
+    assert got[1]["lat"] is None and abs(got[2]["lon"] + 70) < 1e-6 and abs(got[0]["ele"] - 500.2) < 1e-9 and got[2]["ele"] == -10
+    assert binary.crc16(data, start=0) == 0
+    assert binary.fit_records(binary.fit_file([])) == []
