@@ -77,3 +77,11 @@ def live_guard(spark, sf):
 @query()
 def live_nudges(spark, sf):
     return available(detectors.detected(_signal(spark, sf), detectors.nudge, 2))
+
+
+@query("""WITH e AS (SELECT user_id % 8 AS device, epoch_us(ts) // 1000000 AS t, value FROM events), k AS (SELECT device, t, value, unnest(range(0, 10)) AS ahead FROM e)
+SELECT device, t + ahead AS at, round(median(value), 6) AS smoothed, count(*) AS n FROM k GROUP BY ALL""")
+def live_smoothed(spark, sf):
+    """At every second the median of the ten seconds up to it, as sliding windows of the stream."""
+    g = live_events(spark, sf).groupBy("device", F.window("ts", "10 seconds", "1 second").alias("w")).agg(F.percentile("value", 0.5).alias("smoothed"), F.count("*").alias("n"))
+    return available(g.select("device", (F.unix_timestamp("w.end") - 1).alias("at"), R("smoothed").alias("smoothed"), "n"), "complete")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..session import shared_folder
 from .aggregates import R, beats
-from .bindings import DAILY, DEVICES, STREAM, daily, stream, table
+from .bindings import DAILY, STREAM, daily, stream, table
 
 
 def band_powers(t: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
@@ -123,32 +126,51 @@ def cycle_phase(spark, sf):
     return f.join(k, "device").select("device", "day", R("idx").alias("idx"), (F.col("idx") > F.col("mid") + 0.5 * F.col("mad")).alias("elevated"))
 
 
-def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton steps; the last weight is the bias and is not shrunk."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, shrink = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 0.0)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9)
-        move = np.linalg.solve(hessian, x.T @ (y - p) - shrink * w)
-        w += move
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
+def _newton_sums(subjects: list, weights: np.ndarray):
+    """For each left-out subject the gradient and Hessian of a batch's other rows, summed over the batches of a task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slope, bend = np.zeros((len(subjects), 3)), np.zeros((len(subjects), 3, 3))
+        for frame in frames:
+            x = np.column_stack([frame[["a", "b"]].to_numpy(float), np.ones(len(frame))])
+            others = frame["device"].to_numpy()[:, None] != np.array(subjects)[None, :]
+            p = 1 / (1 + np.exp(-np.clip(x @ weights.T, -30, 30)))
+            slope += (others * (frame["y"].to_numpy(float)[:, None] - p)).T @ x
+            bend += np.einsum("ns,ni,nj->sij", others * p * (1 - p), x, x)
+        yield pd.DataFrame({"subject": subjects, **{f"g{i}": slope[:, i] for i in range(3)}, **{f"h{i}{j}": bend[:, i, j] for i in range(3) for j in range(3)}})
+
+    return run
 
 
-def _left_out(rows: pd.DataFrame) -> pd.DataFrame:
-    """One subject's rows scored by a model fitted on the sufficient sample of the others, which come along as flag 0."""
-    own = rows["own"].to_numpy(bool)
-    x, y = rows[["a", "b"]].to_numpy(float), rows["y"].to_numpy(float)
-    w = ridge_logistic(x[~own], y[~own])
-    p = 1 / (1 + np.exp(-(np.column_stack([x[own], np.ones(own.sum())]) @ w)))
-    return pd.DataFrame({"device": rows["subject"].iloc[0], "n": [int(own.sum())], "accuracy": [float(((p > 0.5) == y[own]).mean()) if own.any() else None]})
+SUMS = [*(f"g{i}" for i in range(3)), *(f"h{i}{j}" for i in range(3) for j in range(3))]
+
+
+def left_out_weights(rows: DataFrame, ridge: float = 1.0, steps: int = 25) -> dict:
+    """Weights (a, b, bias) of a ridge logistic model of all other devices' rows, for each device.
+
+    A step is one pass over the rows, which stay where they are; twelve sums a device come to the driver, which takes the
+    Newton step. No device's rows, and no copy of the others', are gathered.
+    """
+    subjects = sorted(r[0] for r in rows.select("device").distinct().collect())
+    weights, shrink = np.zeros((len(subjects), 3)), np.array([ridge, ridge, 0.0])
+    for _ in range(steps if subjects else 0):
+        sums = rows.mapInPandas(_newton_sums(subjects, weights), ", ".join(["subject long", *(f"{c} double" for c in SUMS)]))
+        found = sums.groupBy("subject").agg(*(F.sum(c).alias(c) for c in SUMS)).toPandas().set_index("subject").loc[subjects, SUMS].to_numpy()
+        slope, bend = found[:, :3] - shrink * weights, found[:, 3:].reshape(-1, 3, 3) + np.diag(shrink + 1e-9)
+        move = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        weights += move
+        if np.abs(move).max() < 1e-8:
+            break
+    return dict(zip(subjects, weights.tolist(), strict=True))
 
 
 @query()
 def left_out_models(spark, sf):
     """Leave-one-subject-out: each device is scored by a ridge logistic model of the others' daily means (a row a day)."""
     s = stream(spark, sf).groupBy("device", F.expr("t DIV 86400").alias("day")).agg(F.avg("bpm").alias("a"), F.stddev_pop("bpm").alias("b"), (F.avg("value") > 50).cast("double").alias("y")).fillna(0.0)
-    pairs = s.withColumn("subject", F.explode(F.array(*(F.lit(k).cast("long") for k in range(DEVICES)))))
-    return pairs.withColumn("own", F.col("device") == F.col("subject")).select("subject", "own", "a", "b", "y").groupBy("subject").applyInPandas(_left_out, "device long, n long, accuracy double")
+    path = f"{shared_folder(spark, 'left_out')}/rows"
+    s.write.parquet(path)  # read once a step
+    rows = spark.read.schema(s.schema).parquet(path)
+    models = spark.createDataFrame([(d, *w) for d, w in left_out_weights(rows).items()], "device long, wa double, wb double, bias double")
+    right = (F.col("wa") * F.col("a") + F.col("wb") * F.col("b") + F.col("bias") > 0).cast("double") == F.col("y")
+    return rows.join(models, "device").groupBy("device").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
