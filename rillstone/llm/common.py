@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 #: Bytes of text that a Python worker holds decoded at once; one longer text is held alone.
 CHUNK_BYTES = 1 << 20
 #: The six ASCII white-space characters between words; ``bytes.split()`` splits at exactly these.
@@ -23,15 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (a temporary one where that is unset), deleted when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def table(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a Parquet table to the shared folder: smaller than a checkpoint of many rows."""
     spark = df.sparkSession
@@ -43,12 +34,12 @@ def table(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the session names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (a local test) a temporary folder serves.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset a temporary folder serves a local session only.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
     return df.checkpoint()
 
 
