@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "mixing", "quality", "toxicity", "simhash", "urls", "ctph", "suffixes", "bpe", "secrets", "packing", "phrases")
+MODULES = ("scoring", "mixing", "quality", "toxicity", "simhash", "urls", "ctph", "suffixes", "bpe", "secrets", "packing", "phrases", "alignment")
 
 
 def queries() -> dict:
