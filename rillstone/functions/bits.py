@@ -52,6 +52,10 @@ def bits(b: Column, first: Column, width: int) -> Column:
     return F.when(first + width <= F.size(b) * 8, value)
 
 
+def _nth(b: Column, step: int, offset: int, width: int):
+    return lambda k: signed(bits(b, k * step + offset, width), width)
+
+
 def channels(b: Column, first: int, widths: list[int], rounds: Column) -> Column:
     """Interleaved channels of signed numbers of the given bit widths: an array a channel, ``rounds`` numbers each.
 
@@ -61,7 +65,7 @@ def channels(b: Column, first: int, widths: list[int], rounds: Column) -> Column
     held = F.least(rounds, F.floor((F.size(b) * 8 - first) / whole)).cast("int")
     out, offset = [], first
     for w in widths:
-        number = lambda k, o=offset, w=w: signed(bits(b, k * whole + o, w), w)
+        number = _nth(b, whole, offset, w)
         out.append(F.when(held > 0, F.transform(F.sequence(F.lit(0), held - 1), number)).otherwise(F.array().cast("array<bigint>")))
         offset += w
     return F.array(*out)
