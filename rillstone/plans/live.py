@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..streaming import detectors
+from ..session import shared_folder
+from ..streaming import detectors, guard
+from ..streaming.ledger import Ledger
 from ..streaming.sinks import available
 from .aggregates import R
 from .bindings import STREAM, table
@@ -85,3 +87,23 @@ def live_smoothed(spark, sf):
     """At every second the median of the ten seconds up to it, as sliding windows of the stream."""
     g = live_events(spark, sf).groupBy("device", F.window("ts", "10 seconds", "1 second").alias("w")).agg(F.percentile("value", 0.5).alias("smoothed"), F.count("*").alias("n"))
     return available(g.select("device", (F.unix_timestamp("w.end") - 1).alias("at"), R("smoothed").alias("smoothed"), "n"), "complete")
+
+
+@query()
+def live_session_guard(spark, sf):
+    """A guard with timers: four rows a second of time are dealt to eight devices, so that some fall silent."""
+    second = F.expr("1700000000 + event_id DIV 4")
+    beat = F.round(100 + 60 * F.sin(F.col("event_id") / 900) + F.col("value") % 7, 1)
+    rows = live_events(spark, sf).select("device", second.alias("t"), beat.alias("value"), F.timestamp_seconds(second).alias("at")).withWatermark("at", "30 seconds")
+    return available(guard.guarded(rows), settings=guard.STORE)
+
+
+@query("SELECT event_id, user_id, round(value, 4) AS value FROM events")
+def live_accepted(spark, sf):
+    """The stream's batches through the ledger, and once more by a second run that has lost its own progress."""
+    folder = shared_folder(spark, "accepted")
+    ledger = Ledger(spark, folder)
+    rows = live_events(spark, sf).select("event_id", "user_id", F.round("value", 4).alias("value"))
+    for run in ("first", "second"):
+        rows.writeStream.foreachBatch(ledger.sink()).option("checkpointLocation", f"{folder}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return ledger.rows(rows.schema).select("event_id", "user_id", "value")

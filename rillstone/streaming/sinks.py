@@ -1,52 +1,45 @@
-"""Running a stream over what is available, with file sinks in the shared folder, and an idempotent batch ledger."""
+"""Running a stream over what is available, with file sinks in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..session import shared_folder
 
 
-def available(rows: DataFrame, mode: str = "append") -> DataFrame:
+def _started(writer, spark, settings: dict[str, str]):
+    """Start a stream under settings of its own; it keeps those that it started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def available(rows: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
     """What the stream gives for all input that is there now, as files in the shared folder.
 
-    Appended rows are written exactly once; in other modes each batch replaces the table. Nothing goes to the driver.
+    ``settings`` hold while the stream starts. Appended rows are written exactly once; in other modes each batch replaces
+    the table. Nothing goes to the driver.
     """
     spark = rows.sparkSession
     folder = shared_folder(spark, "stream")
     path = f"{folder}/rows"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    fs = lambda place: place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     if mode == "append":
-        writer.format("parquet").option("path", path).start().awaitTermination()
+        _started(writer.format("parquet").option("path", path), spark, settings or {}).awaitTermination()
+        written = [path] if fs(hadoop(path)).exists(hadoop(path)) else []
     else:
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        # Each batch is a folder of its own, so a crash leaves the batch before it whole; the last that is complete counts.
+        _started(writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/{k}")), spark, settings or {}).awaitTermination()
+        there = fs(hadoop(path)).listStatus(hadoop(path)) if fs(hadoop(path)).exists(hadoop(path)) else []
+        done = [s.getPath() for s in there if fs(s.getPath()).exists(hadoop(s.getPath(), "_SUCCESS"))]
+        written = [max(done, key=lambda p: int(p.getName())).toString()] if done else []
+    if not written:
         return spark.createDataFrame([], rows.schema)  # there was no input
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-class Ledger:
-    """Accepts each batch once: equal content again is a no-op, other content under the same number is a conflict."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def accept(self, batch: DataFrame, batch_id: int) -> str:
-        digest = batch.select(F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
-        mark = f"{digest['n']}:{digest['h']}"
-        known = self._marks().filter(F.col("batch_id") == batch_id).select("mark").first()
-        if known:
-            return "repeated" if known["mark"] == mark else "conflict"
-        batch.write.mode("overwrite").parquet(f"{self.folder}/rows/batch_id={batch_id}")
-        self.spark.createDataFrame([(batch_id, mark)], "batch_id long, mark string").write.mode("append").parquet(f"{self.folder}/marks")
-        return "accepted"
-
-    def _marks(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/marks")
-        except Exception as e:  # nothing was accepted yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], "batch_id long, mark string")
+    return spark.read.schema(rows.schema).parquet(*written)
