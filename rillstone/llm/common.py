@@ -23,14 +23,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing a Parquet table to the shared folder: smaller than a checkpoint of many rows."""
+#: Whether the shuffle files of a query go as soon as it ends; nothing reads them once its table is written.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """Cut the lineage by writing a Parquet table to the shared folder: smaller than a checkpoint of many rows.
+
+    With ``tidy`` the shuffle files of the write are deleted when it has ended.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Delete the files of a table that ``table`` has written and that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the session names.
 

@@ -5,11 +5,12 @@ positions; a position is left empty where a piece of a text ends, so that neighb
 piece. A list's length is the exact count of its word in the block, and the sum over blocks its frequency. Lists of
 frequent phrases are extended by a word at a time: the positions of a phrase meet the postings of the word that follows,
 as far as these are the ends of frequent phrases of the same length (a phrase is at most as frequent as its parts). What
-travels between blocks are lengths, not positions: a row for each list of a block, at most as many a phrase as there are
-blocks. Frequent lists are stored as Parquet rows, a row a block, after every round.
+travels between blocks are lengths, not positions: a block sends the sorted hashes of its lists with their lengths, cut in
+ranges, and a range meets in one group, of which there are in proportion to the blocks. Frequent lists are stored as
+Parquet rows, a row a block, after every round; the table before them is deleted then.
 
-Phrases of two words and more go between blocks by 64-bit hashes; a collision can only let a rare phrase pass as frequent
-for a while, since final counts are grouped by the words themselves and held against the least frequency again.
+Hashes have 44 bits. A collision can only let a rare phrase pass as frequent for a while: final counts are grouped by the
+words themselves and held against the least frequency again.
 
 Defined results: a null text is empty, a null language is ``und``; texts without words add nothing; repeated rows count
 each; ties are ordered by count and phrase, so the result is the same however rows are dealt; very long texts are cut at
@@ -19,30 +20,37 @@ strings like any other, the empty one included.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, table, texts_of
+from .common import deleted, read_table, texts_of
+from .common import table as _table
 
+table = partial(_table, tidy=True)
 #: Words of a block; a piece is never cut.
-BLOCK = 1 << 22
+BLOCK = 3 << 20
 #: Bytes of a text that are cut in words at once, about.
 SLICE = 1 << 20
-#: Candidates of a block that one row of counts holds.
-COUNTS = 100_000
+#: Bits of the hashes that blocks compare, and the most ranges that these are cut in (powers of two).
+BITS, RANGES = 44, 1 << 20
 #: Languages up to which their word totals are broadcast.
 LANGS = 10_000
 #: Parts in which a language's phrases are ranked before they are ranked together.
 SALT = 64
 # The fixed lower-casing and the fixed separators of pieces and words.
 END, LOWER = b"\xff", bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
-LISTS = "block long, langs array<string>, lang array<int>, phrase array<string>, key array<long>, n array<int>, positions binary"
-TYPES = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("lang", pa.list_(pa.int32())), ("phrase", pa.list_(pa.string())), ("key", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("positions", pa.binary())])
+#: A block's lists in one row: the languages with their words, and of each list its language, phrase, hash and length, then
+#: all positions; each as compressed bytes.
+LISTS = "block long, langs array<string>, totals array<long>, m int, lang binary, phrase binary, key binary, n binary, positions binary"
+TYPES = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("m", pa.int32()), *((c, pa.binary()) for c in ("lang", "phrase", "key", "n", "positions"))])
 
 
 class _Ids(dict):
@@ -72,12 +80,24 @@ class _Block:
         self.parts.append(np.fromiter(map(self.langs[lang].__getitem__, words), np.int32, len(words)))
         self.n += len(words)
 
-    def row(self, block: int) -> dict:
+    def row(self, block: int) -> pa.RecordBatch:
         ids = np.concatenate(self.parts)
         codes = ids.astype(np.int64) << 32 | np.arange(len(ids))
         codes = np.sort(codes[ids >= 0])
         n = np.bincount(codes >> 32, minlength=len(self.words))
-        return {"block": block, "langs": list(self.langs), "lang": self.lang_of, "phrase": [w.decode() for w in self.words], "key": None, "n": n, "positions": pack(codes & 0xFFFFFFFF, n)}
+        totals = np.bincount(self.lang_of, n, len(self.langs)).astype(np.int64)
+        langs, words = list(self.langs), [w.decode() for w in self.words]
+        lang = np.array(self.lang_of, np.int64)
+        return stored(block, langs, totals, lang, words, None, n, codes & 0xFFFFFFFF)
+
+
+def shrunk(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: those of small numbers are mostly zeros."""
+    return pa.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def grown(packed: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 8 * n, "zstd"), np.uint8).reshape(8, n).T).view("<i8").ravel()
 
 
 def pack(positions: np.ndarray, n: np.ndarray) -> bytes:
@@ -85,17 +105,65 @@ def pack(positions: np.ndarray, n: np.ndarray) -> bytes:
     steps = np.diff(positions, prepend=0)
     starts = (np.cumsum(n) - n)[n > 0]
     steps[starts] = positions[starts]
-    return pa.compress(steps.astype("<i4").tobytes(), "zstd", asbytes=True)
+    return shrunk(steps)
 
 
 def unpack(packed: bytes, n: np.ndarray) -> np.ndarray:
-    steps = np.frombuffer(pa.decompress(packed, 4 * int(n.sum()), "zstd"), "<i4").astype(np.int64)
+    steps = grown(packed, int(n.sum()))
     ends = np.cumsum(steps)
     full = n > 0
     starts = (np.cumsum(n) - n)[full]
     return ends - np.repeat(ends[starts] - steps[starts], n[full])
 
 
+def joined(words: list[str]) -> bytes:
+    """Strings without line ends as compressed bytes behind their length before."""
+    raw = "\n".join(words).encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def parted(packed: bytes, m: int) -> list[str]:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True).decode().split("\n") if m else []
+
+
+def stored(block: int, langs: list[str], totals: np.ndarray | None, lang: np.ndarray, words: list[str], key: np.ndarray | None, n: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
+    row = (block, langs, totals, len(words), shrunk(lang), joined(words), None if key is None else shrunk(key), shrunk(n), pack(positions, n))
+    return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, TYPES.types, strict=True)], schema=TYPES)
+
+
+class Lists:
+    """One stored row."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self._of = lambda c: batch.column(c)[row].as_py()
+        self.block, self.m = self._of("block"), self._of("m")
+
+    def numbers(self, column: str) -> np.ndarray:
+        return grown(self._of(column), self.m)
+
+    def langs(self) -> list[str]:
+        return self._of("langs")
+
+    def phrases(self) -> list[str]:
+        return parted(self._of("phrase"), self.m)
+
+    def keys(self) -> np.ndarray:
+        """The hash of each list's phrase; those of words are not stored."""
+        return word_keys(self.langs(), self.numbers("lang"), self.phrases()) if self._of("key") is None else self.numbers("key")
+
+    def positions(self) -> np.ndarray:
+        return unpack(self._of("positions"), self.numbers("n"))
+
+    def chosen(self) -> np.ndarray:
+        return np.array(self._of("chosen"), np.int64)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield Lists(batch, row)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two, in this order."""
     with np.errstate(over="ignore"):
@@ -126,7 +194,7 @@ def longer(n: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_lists(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The lists of all words, a row a block; keys are null."""
+    """The lists of all words, a row a block."""
     source = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     most, wide = BLOCK, SLICE
 
@@ -142,85 +210,141 @@ def word_lists(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
                     block.add(name, t[start:end])
                     start = end + 1
                     if block.n >= most:
-                        yield pa.RecordBatch.from_pylist([block.row(number)], schema=TYPES)
+                        yield block.row(number)
                         number, block = number + 1, _Block()
         if block.words:
-            yield pa.RecordBatch.from_pylist([block.row(number)], schema=TYPES)
+            yield block.row(number)
 
     return source.mapInArrow(run, LISTS)
 
 
-def candidates(lists: DataFrame) -> DataFrame:
-    """(block, key, n, k) of the phrases one word longer than those of ``lists``; k is the place in the block."""
-    most = COUNTS
+def word_keys(langs: list[str], lang: np.ndarray, words: list[str]) -> np.ndarray:
+    """Hashes of words with their language."""
+    heads = [f"{x}\0".encode() for x in langs]
+    return np.fromiter((xxhash.xxh64_intdigest(heads[k] + w.encode()) for k, w in zip(lang.tolist(), words, strict=True)), np.uint64, len(words)).view(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key, n = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("key", "n"))
-                left, right, sizes, _ = longer(n, unpack(batch.column("positions")[row].as_py(), n))
-                keys, block = mix(key[left], key[right]), batch.column("block")[row].as_py()
-                for at in range(0, len(keys), most):
-                    part = [pa.array([x], t) for x, t in ((block, pa.int64()), (at, pa.int32()), (keys[at : at + most], pa.list_(pa.int64())), (sizes[at : at + most].astype(np.int32), pa.list_(pa.int32())))]
-                    yield pa.RecordBatch.from_arrays(part, names=["block", "at", "keys", "sizes"])
 
-    rows = lists.select("block", "key", "n", "positions").mapInArrow(run, "block long, at int, keys array<long>, sizes array<int>")
-    return rows.select("block", "at", F.posexplode(F.arrays_zip("keys", "sizes"))).select("block", F.col("col.keys").alias("key"), F.col("col.sizes").alias("n"), (F.col("at") + F.col("pos")).alias("k"))
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def frequent(counts: DataFrame, by: list[str], least: int, key: str) -> DataFrame:
-    """Of each block, the places and keys of what is frequent over all blocks: (block, chosen)."""
-    total = F.sum(F.col("n").cast("long")).over(Window.partitionBy(*by))
-    rows = counts.withColumn("_total", total).filter(F.col("_total") >= least)
-    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("k"), F.expr(key).alias("key")))).alias("chosen"))
+def _slices(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, stop) of each run of equal numbers."""
+    if not len(place):
+        return
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    yield from zip(place[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(place)], strict=True)
+
+
+def _sent(rows: list[tuple], types: tuple[str, ...], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def counts(lists: DataFrame, grow: bool, ranges: int) -> DataFrame:
+    """(range, block, m, keys, sizes): the hashes and lengths of each block's lists, or with ``grow`` of those a word longer."""
+    bits = BITS
+    shift = bits - (ranges.bit_length() - 1)
+
+    def run(batches):
+        for block in _each(batches):
+            keys, n = block.keys(), block.numbers("n")
+            if grow:
+                left, right, n, _ = longer(n, block.positions())
+                keys = mix(keys[left], keys[right])
+            keys = _short(keys, bits)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            rows = [(k, block.block, b - a, shrunk(np.diff(keys[a:b], prepend=0)), shrunk(n[a:b])) for k, a, b in _slices(keys >> shift)]
+            if rows:
+                yield _sent(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["range", "block", "m", "keys", "sizes"])
+
+    return lists.select("block", "m", "key", "n", *(["positions"] if grow else ["langs", "lang", "phrase"])).mapInArrow(run, "range long, block long, m int, keys binary, sizes binary")
+
+
+def frequent(rows: DataFrame, least: int) -> DataFrame:
+    """Of each block, the hashes of its lists that are frequent over all blocks: (block, chosen)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        m = group.column("m").to_numpy()
+        read = lambda c: [grown(x, k) for x, k in zip(group.column(c).to_pylist(), m.tolist(), strict=True)]
+        keys, sizes = np.concatenate([np.cumsum(k) for k in read("keys")]), np.concatenate(read("sizes"))
+        distinct, place = np.unique(keys, return_inverse=True)
+        stay = (np.bincount(place, sizes, len(distinct)) >= least)[place]
+        cuts = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], np.cumsum(m)])]
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys[stay], pa.int64()))
+        return pa.table({"block": group.column("block").combine_chunks(), "chosen": lists}).filter(pa.array(np.diff(cuts) > 0))
+
+    found = rows.groupBy("range").applyInArrow(run, "block long, chosen array<long>")
+    return found.groupBy("block").agg(F.flatten(F.collect_list("chosen")).alias("chosen"))
 
 
 def kept(lists: DataFrame, chosen: DataFrame, grow: bool) -> DataFrame:
     """Of each block the lists that are chosen: those of ``lists``, or with ``grow`` of the phrases a word longer."""
+    bits = BITS
 
     def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                langs, n, picked = (batch.column(c)[row] for c in ("langs", "n", "chosen"))
-                n = n.values.to_numpy(zero_copy_only=False)
-                places, keys = (picked.values.field(f).to_numpy(zero_copy_only=False) for f in ("k", "key"))
-                positions = unpack(batch.column("positions")[row].as_py(), n)
-                lang, phrase = batch.column("lang")[row].values, batch.column("phrase")[row].values
-                if grow:
-                    left, right, n, positions = longer(n, positions)
-                    ends = phrase.take(pa.array(right[places])).to_pylist()
-                    names = [f"{a} {b[b.rfind(' ') + 1 :]}" for a, b in zip(phrase.take(pa.array(left[places])).to_pylist(), ends, strict=True)]
-                    lang = lang.take(pa.array(left[places]))
-                else:
-                    lang, names = lang.take(pa.array(places)), phrase.take(pa.array(places)).to_pylist()
-                stay = np.zeros(len(n), bool)
-                stay[places] = True
-                positions = positions[np.repeat(stay, n)]
-                n = n[places]
-                columns = (batch.column("block")[row].as_py(), langs.as_py(), lang, names, keys, n.astype(np.int32), pack(positions, n))
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, TYPES.types, strict=True)], schema=TYPES)
-
-    return lists.drop("key").join(chosen, "block").mapInArrow(run, LISTS)
-
-
-def counted(lists: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of every list of every block."""
-    rows = lists.select("langs", F.explode(F.arrays_zip("lang", "phrase", "n")).alias("x"))
-    return rows.select(F.element_at("langs", F.col("x.lang") + 1).alias("lang"), F.col("x.phrase").alias("phrase"), F.col("x.n").cast("long").alias("n"))
+        for block in _each(batches):
+            lang, words, keys, n, positions = block.numbers("lang"), block.phrases(), block.keys(), block.numbers("n"), block.positions()
+            if grow:
+                left, right, n, positions = longer(n, positions)
+                keys = mix(keys[left], keys[right])
+            stay = np.isin(_short(keys, bits), block.chosen())
+            places = np.flatnonzero(stay)
+            if grow:
+                ends = [w[w.rfind(" ") + 1 :] for w in words]
+                words = [f"{words[a]} {ends[b]}" for a, b in zip(left[places].tolist(), right[places].tolist(), strict=True)]
+                lang = lang[left[places]]
+            else:
+                words, lang = [words[k] for k in places.tolist()], lang[places]
+            yield stored(block.block, block.langs(), None, lang, words, keys[places], n[places], positions[np.repeat(stay, n)])
+
+    return lists.drop("totals").join(chosen, "block").mapInArrow(run, LISTS)
+
+
+def counted(lists: DataFrame, least: int, ranges: int) -> DataFrame:
+    """(lang, phrase, f) of the lists' phrases, by their words, as far as they occur ``least`` times."""
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
+
+    def send(batches):
+        for block in _each(batches):
+            keys, lang, n, words, langs = block.numbers("key"), block.numbers("lang"), block.numbers("n"), block.phrases(), block.langs()
+            place = (keys.view(np.uint64) >> shift).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            lang, n = lang[order], n[order]
+            words = [words[k] for k in order.tolist()]
+            rows = [(k, b - a, langs, shrunk(lang[a:b]), joined(words[a:b]), shrunk(n[a:b])) for k, a, b in _slices(place[order])]
+            if rows:
+                yield _sent(rows, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()), ["range", "m", "langs", "lang", "phrase", "n"])
+
+    def run(group: pa.Table) -> pa.Table:
+        totals: Counter = Counter()
+        for row in group.to_pylist():
+            m, langs = row["m"], row["langs"]
+            for k, phrase, n in zip(grown(row["lang"], m).tolist(), parted(row["phrase"], m), grown(row["n"], m).tolist(), strict=True):
+                totals[langs[k], phrase] += n
+        found = [(lang, phrase, n) for (lang, phrase), n in totals.items() if n >= least]
+        return pa.table([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+    rows = lists.select("block", "langs", "m", "lang", "phrase", "key", "n").mapInArrow(send, "range long, m int, langs array<string>, lang binary, phrase binary, n binary")
+    return rows.groupBy("range").applyInArrow(run, "lang string, phrase string, f long")
 
 
 def frequencies(docs: DataFrame, least: int, longest: int, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that occur ``least`` times (lang, phrase, f), and each language's words (lang, n)."""
-    words = table(word_lists(docs, lang, text))
-    rows = words.select("block", "langs", F.posexplode(F.arrays_zip("lang", "phrase", "n")).alias("k", "x"))
-    rows = rows.select("block", "k", F.element_at("langs", F.col("x.lang") + 1).alias("lang"), F.col("x.phrase").alias("phrase"), F.col("x.n").alias("n"))
-    lists = table(kept(words, frequent(rows, ["lang", "phrase"], least, "xxhash64(lang, phrase)"), False))
-    found = counted(lists)
-    for _ in range(longest - 1):
-        lists = table(kept(lists, frequent(candidates(lists), ["key"], least, "key"), True))
-        found = found.unionByName(counted(lists))
-    f = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return table(f), table(counted(words).groupBy("lang").agg(F.sum("n").alias("n")))
+    lists = table(word_lists(docs, lang, text))
+    blocks = lists.count()
+    ranges = 64
+    while ranges < min(2 * blocks, RANGES):
+        ranges *= 2
+    totals = table(lists.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n")).filter("n > 0"))
+    found = []
+    for k in range(longest):
+        longer_lists = table(kept(lists, frequent(counts(lists, k > 0, ranges), least), k > 0))
+        deleted(lists)
+        lists = longer_lists
+        found.append(table(counted(lists, least, ranges)))
+    deleted(lists)
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def score(a, n, left, right):

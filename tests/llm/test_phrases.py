@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import connect, rows
 from pyspark.sql import functions as F
@@ -52,8 +53,7 @@ def query(spark, docs, parts=3, **how):
 
 
 @pytest.mark.parametrize("least, longest, top", [(5, 5, 2000), (20, 5, 7), (3, 2, 50), (1, 3, 10**6)])
-def test_equals_brute_force(spark, monkeypatch, least, longest, top):
-    monkeypatch.setattr(phrases, "COUNTS", 7)
+def test_equals_brute_force(spark, least, longest, top):
     docs = drawn()
     assert query(spark, docs, least=least, longest=longest, top=top) == sorted(brute(docs, least, longest, top))
 
@@ -70,16 +70,26 @@ def test_blocks_and_slices_do_not_matter(spark, monkeypatch):
 def test_small_blocks():
     block = phrases._Block()
     block.add("en", b"a b a b\xffb a")
-    row = block.row(0)
-    n = row["n"]
-    assert row["phrase"] == ["a", "b"] and n.tolist() == [3, 3]
-    positions = phrases.unpack(row["positions"], n)
-    assert positions.tolist() == [0, 2, 6, 1, 3, 5]
-    left, right, sizes, first = phrases.longer(n, positions)
+    row = phrases.Lists(block.row(0), 0)
+    n = row.numbers("n")
+    assert row.phrases() == ["a", "b"] and n.tolist() == [3, 3]
+    assert row.positions().tolist() == [0, 2, 6, 1, 3, 5]
+    left, right, sizes, first = phrases.longer(n, row.positions())
     assert [(a, b, c) for a, b, c in zip(left.tolist(), right.tolist(), sizes.tolist(), strict=True)] == [(0, 1, 2), (1, 0, 2)]
     assert first.tolist() == [0, 2, 1, 5]
 
 
+def test_numbers_come_back():
+    for values in ([0], [5, 1, 2**43, 0], list(range(1000))):
+        assert phrases.grown(phrases.shrunk(np.array(values)), len(values)).tolist() == values
+
+
+def test_colliding_hashes_do_no_harm(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BITS", 8)
+    docs = drawn(150, 3)
+    assert query(spark, docs, least=6) == sorted(brute(docs, 6, 5, 2000))
+
+
 def test_scores_are_exact(spark):
     draw = random.Random(7)
     cases = [(draw.randint(1, 10**12), draw.randint(10**12, 10**14), draw.randint(10**11, 10**12), draw.randint(10**11, 10**12)) for _ in range(200)] + [(10**12, 10**15, 10**12, 10**12), (100, 10**6, 100, 100)]
