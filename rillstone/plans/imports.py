@@ -38,6 +38,17 @@ def _json(rows: DataFrame) -> str:
     return path
 
 
+def _rooted(tag: str):
+    """A partition's lines between a start and an end tag, batch by batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [f"<{tag}>"]})
+        yield from frames
+        yield pd.DataFrame({"value": [f"</{tag}>"]})
+
+    return run
+
+
 def _wall(t: str):
     """Wall time an hour and a half east of UTC."""
     return F.date_format(F.timestamp_seconds(F.col(t) + 5400), "yyyy-MM-dd HH:mm:ss")
@@ -95,8 +106,8 @@ def file_health_days(spark, sf):
     at = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd HH:mm:ss")
     line = F.concat(F.lit('<Record type="HKQuantityTypeIdentifier'), "name", F.lit('" sourceName="s'), F.expr("user_id % 4"), F.lit('" unit="u" startDate="'), at, F.lit(' +0000" endDate="'), at, F.lit(' +0000" value="'), F.col("value"), F.lit('"/>'))
     rows = table(spark, sf, "events").select("user_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").alias("kind")).withColumn("name", names).filter("name IS NOT NULL")
-    twice = rows.withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy(F.expr("t DIV 86400").alias("day")).agg(F.array_join(F.collect_list(line), "").alias("records"))
-    path = _text(twice.select(F.concat(F.lit("<HealthData>"), "records", F.lit("</HealthData>")).alias("value"), "day"), "day")
+    twice = rows.withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1))))
+    path = _text(twice.select(line.alias("value")).mapInPandas(_rooted("HealthData"), "value string"))  # a file a partition, a line a record
     days = files.health_days(files.read_health_records(spark, path))
     return days.select("day", R("steps", 4).alias("steps"), R("avg_hr", 7).alias("avg_hr"), R("max_hr", 4).alias("max_hr"))
 

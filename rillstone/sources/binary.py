@@ -7,7 +7,9 @@ import gzip
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +24,21 @@ def crc8(data: bytes, polynomial: int = 0x07) -> int:
     return crc
 
 
-def crc16(data: bytes, polynomial: int = 0xA001, start: int = 0xFFFF) -> int:
-    crc = start
-    for b in data:
-        crc ^= b
+@lru_cache(4)
+def _crc16_table(polynomial: int) -> list[int]:
+    table = []
+    for byte in range(256):
+        crc = byte
         for _ in range(8):
             crc = (crc >> 1) ^ polynomial if crc & 1 else crc >> 1
+        table.append(crc)
+    return table
+
+
+def crc16(data: bytes, polynomial: int = 0xA001, start: int = 0xFFFF) -> int:
+    crc, table = start, _crc16_table(polynomial)
+    for b in data:
+        crc = (crc >> 8) ^ table[(crc ^ b) & 0xFF]
     return crc
 
 
@@ -129,12 +140,46 @@ def fit_records(data: bytes) -> list[dict]:
     return out
 
 
-def fit_file(points: list[tuple[int, float | None, float | None, float | None, int | None]]) -> bytes:
-    """A FIT file of record messages: (ts, lat, lon, ele, hr) each, what is None as the invalid value of its field."""
-    turns = lambda d: 0x7FFFFFFF if d is None else round(d * 2**31 / 180)
-    body = b"\x40\x00\x00" + struct.pack("<HB", 20, 5) + bytes([253, 4, 0x86, 0, 4, 0x85, 1, 4, 0x85, 2, 2, 0x84, 3, 1, 0x02])
-    for ts, lat, lon, ele, hr in points:
-        body += b"\x00" + struct.pack("<IiiHB", ts - FIT_EPOCH, turns(lat), turns(lon), 0xFFFF if ele is None else round((ele + 500) * 5), 0xFF if hr is None else hr)
+#: The fields of an activity file's messages as (number, size, base type): what a record holds, and what sums it up.
+FIT_RECORD = ((253, 4, 0x86), (0, 4, 0x85), (1, 4, 0x85), (2, 2, 0x84), (3, 1, 0x02))
+FIT_SPORTS = {"generic": 0, "running": 1, "cycling": 2, "swimming": 5, "walking": 11, "hiking": 17}
+_BASES = {0x00: "B", 0x02: "B", 0x84: "H", 0x85: "i", 0x86: "I"}
+
+
+def _fit_message(local: int, number: int, fields: list[tuple[int, int, int, int]]) -> bytes:
+    """The definition of a message and one message of it; fields are (number, size, base type, value)."""
+    kinds = b"".join(bytes(f[:3]) for f in fields)
+    head = bytes([0x40 | local, 0, 0]) + struct.pack("<HB", number, len(fields)) + kinds
+    return head + bytes([local]) + struct.pack("<" + "".join(_BASES[f[2]] for f in fields), *(f[3] for f in fields))
+
+
+def fit_file(points: list[tuple[int, float | None, float | None, float | None, int | None]], sport: str = "generic", distance_m: float | None = None, kcal: float | None = None) -> bytes:
+    """A FIT activity: file, records (ts, lat, lon, ele, hr), a lap, a session and the activity that they make.
+
+    What is None in a record is the invalid value of its field; what the session does not know it does not name.
+    """
+    known = lambda k, kind: np.array([np.nan if p[k] is None else p[k] for p in points], kind)
+    rows = np.zeros(len(points), np.dtype([("head", "u1"), ("ts", "<u4"), ("lat", "<i4"), ("lon", "<i4"), ("ele", "<u2"), ("hr", "u1")]))
+    rows["head"], rows["ts"] = 1, np.array([p[0] for p in points], np.int64) - FIT_EPOCH
+    for name, k, invalid, scaled in (("lat", 1, 0x7FFFFFFF, lambda v: v * 2**31 / 180), ("lon", 2, 0x7FFFFFFF, lambda v: v * 2**31 / 180), ("ele", 3, 0xFFFF, lambda v: (v + 500) * 5), ("hr", 4, 0xFF, lambda v: v)):
+        value = scaled(known(k, float))
+        rows[name] = np.where(np.isnan(value), invalid, np.rint(np.nan_to_num(value))).astype(np.int64)
+    first, last = (int(points[k][0]) - FIT_EPOCH if points else 0 for k in (0, -1))
+    rates = [p[4] for p in points if p[4] is not None]
+    span, metres = 1000 * max(last - first, 0), 0xFFFFFFFF if distance_m is None else round(distance_m * 100)
+    session = [(253, 4, 0x86, last), (2, 4, 0x86, first), (7, 4, 0x86, span), (5, 1, 0x00, FIT_SPORTS.get(sport, 0))]
+    session += [(9, 4, 0x86, metres)] if distance_m is not None else []
+    session += [(11, 2, 0x84, min(max(round(kcal), 0), 65534))] if kcal is not None else []
+    session += [(16, 1, 0x02, min(round(sum(rates) / len(rates)), 254)), (17, 1, 0x02, min(max(rates), 254))] if rates else []
+    parts = [
+        _fit_message(0, 0, [(0, 1, 0x00, 4), (1, 2, 0x84, 255), (4, 4, 0x86, first)]),
+        b"\x41\x00\x00" + struct.pack("<HB", 20, len(FIT_RECORD)) + b"".join(map(bytes, FIT_RECORD)),
+        rows.tobytes(),
+        _fit_message(2, 19, [(253, 4, 0x86, last), (2, 4, 0x86, first), (7, 4, 0x86, span), (9, 4, 0x86, metres)]),
+        _fit_message(3, 18, session),
+        _fit_message(4, 34, [(253, 4, 0x86, last), (1, 2, 0x84, 1), (2, 1, 0x00, 0)]),
+    ]
+    body = b"".join(parts)
     head = struct.pack("<BBHI", 14, 0x20, 2132, len(body)) + b".FIT"
     head += struct.pack("<H", crc16(head, start=0))
     return head + body + struct.pack("<H", crc16(head + body, start=0))

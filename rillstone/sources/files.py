@@ -36,15 +36,23 @@ def snake_name(header: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", named).strip("_")
 
 
-def read_delimited(spark: SparkSession, path: str, quoted_lines: bool = True) -> DataFrame:
+def holds_quoted_lines(lines: DataFrame) -> bool:
+    """Whether a quoted cell may hold a line end: then, and only then, some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(lines.filter(quotes % 2 == 1).take(1))
+
+
+def read_delimited(spark: SparkSession, path: str, quoted_lines: bool | None = None) -> DataFrame:
     """A delimited file with a header, quoted cells that may hold line ends, any of three delimiters; all cells as text.
 
-    Only the first line is looked at on the driver. Without ``quoted_lines`` no cell may hold a line end, and large
-    files are split among tasks.
+    Only the first line is looked at on the driver. Where no cell holds a line end (``quoted_lines`` says so, or a pass
+    over the lines tells), large files are split among tasks; else a file is one task.
     """
     head = spark.read.text(path).limit(1).collect()
     if not head:
         return spark.createDataFrame([], "empty string")
+    if quoted_lines is None:
+        quoted_lines = holds_quoted_lines(spark.read.text(path))
     df = spark.read.csv(path, header=True, sep=delimiter_of(head[0][0]), multiLine=quoted_lines, quote='"', escape='"', enforceSchema=False)
     names: list[str] = []
     for c in df.columns:

@@ -141,3 +141,28 @@ def test_fit_files_round_trip():
     assert got[1]["lat"] is None and abs(got[2]["lon"] + 70) < 1e-6 and abs(got[0]["ele"] - 500.2) < 1e-9 and got[2]["ele"] == -10
     assert binary.crc16(data, start=0) == 0
     assert binary.fit_records(binary.fit_file([])) == []
+
+
+def test_a_whole_fit_activity():
+    points = [(1_700_000_000 + k, 40 + k / 1e4, None if k == 3 else 10.0, None if k % 2 else 100.2, 100 + k if k < 250 else None) for k in range(5000)]
+    data = binary.fit_file(points, "running", 1234.56, 88)
+    assert binary.crc16(data[:-2], start=0) == int.from_bytes(data[-2:], "little") and binary.crc16(data[:12], start=0) == int.from_bytes(data[12:14], "little")
+    back = binary.fit_records(data)
+    assert len(back) == 5000 and back[3]["lon"] is None and back[1]["ele"] is None and abs(back[0]["ele"] - 100.2) < 1e-9 and back[4999]["hr"] is None
+    assert [m for m in (0, 19, 18, 34, 20) if bytes([m, 0]) in data] == [0, 19, 18, 34, 20]
+    assert binary.fit_records(binary.fit_file([])) == []
+
+
+def test_csv_without_quoted_lines_is_split(spark, tmp_path):
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.csv").write_text("a,b\n" + "".join(f'{k},"x, {k}"\n' for k in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = files.read_delimited(spark, str(tmp_path / "plain"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.csv").write_text('a,b\n1,"two\nlines"\n2,"a ""quote"""\n')
+    assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "lines")).collect()] == [("1", "two\nlines"), ("2", 'a "quote"')]
