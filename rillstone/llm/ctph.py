@@ -2,11 +2,14 @@
 
 A rolling hash of the last seven bytes ends a piece wherever its low bits are all one; as many bits as the block size
 has. Each piece gives one of 64 characters. The block size starts where about 64 pieces are expected and is halved
-while the signature is too short, so that texts of like length have like block sizes. A fingerprint is
-``block:signature:signature at twice the block``. Signatures have a character for every piece, however many a text has:
-its last character covers what follows the last boundary alone.
+while the signature is too short, so that texts of like length have like block sizes; it is doubled while there are too
+many pieces and enough are left. A fingerprint is ``block:signature:signature at twice the block``. Every piece of a text
+counts: its last character covers what follows the last boundary alone, and only a run of more than three equal
+characters is written shorter, a character for each doubling of its length.
 Fingerprints compare at equal or neighbouring block sizes: one less the edit distance (insertions and deletions) over
 the summed lengths, and 0 unless the signatures share a run of seven characters (half the shorter one, if that is less).
+Where repetitive texts leave signatures of more than ``LONG`` characters, whose distance would take time in the square
+of the text, the runs of seven that both have, as multisets, take its place: time in proportion to the text.
 
 The neighbour of a document in descending order of ids comes from one shuffle by id ranges: the largest document of
 each range also goes to the next range above it, and the largest of all to the lowest one. Only ids and range numbers,
@@ -20,6 +23,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import chunks, read_table
 
 ROLL, PIECES, SHORTER, LEAST_BLOCK, SHARED = 7, 64, 32, 4, 7
+#: Pieces above which the block is doubled, and characters above which signatures are compared by their runs.
+MANY, LONG = 512, 4096
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 1 << 64)
@@ -61,6 +67,14 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def shortened(codes: np.ndarray) -> np.ndarray:
+    """Runs of more than three equal numbers with one more for each doubling of three."""
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    sizes = np.diff(starts, append=len(codes))
+    kept = np.where(sizes <= 3, sizes, 3 + np.floor(np.log2(np.maximum(sizes, 3) / 3)).astype(np.int64))
+    return np.repeat(codes[starts], kept)
+
+
 def fingerprint(data: bytes) -> str:
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
@@ -81,7 +95,7 @@ def fingerprint(data: bytes) -> str:
         pieces = (sums[ends] - sums[begins]) * back[begins]
         pieces ^= pieces >> np.uint64(29)
         pieces *= np.uint64(0xBF58476D1CE4E5B9)
-        return ALPHABET[(pieces >> np.uint64(58)).astype(np.int64)].tobytes()
+        return ALPHABET[shortened((pieces >> np.uint64(58)).astype(np.int64))].tobytes()
 
     block = LEAST_BLOCK
     while block * PIECES < n:
@@ -90,6 +104,8 @@ def fingerprint(data: bytes) -> str:
     while len(first) < SHORTER and block > LEAST_BLOCK:
         block //= 2
         first = signature(block)
+    while len(first) > MANY and len(coarser := signature(2 * block)) >= SHORTER:
+        block, first = 2 * block, coarser
     return f"{block}:{first.decode()}:{signature(2 * block).decode()}"
 
 
@@ -112,6 +128,9 @@ def _score(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     run = min(SHARED, max(1, min(len(a), len(b)) // 2))
+    if max(len(a), len(b)) > LONG:
+        here, there = (Counter(x[k : k + run] for k in range(len(x) - run + 1)) for x in (a, b))
+        return 2 * (here & there).total() / (here.total() + there.total())
     seen = {a[k : k + run] for k in range(len(a) - run + 1)}
     if not any(b[k : k + run] in seen for k in range(len(b) - run + 1)):
         return 0.0
