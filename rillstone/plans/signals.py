@@ -84,7 +84,6 @@ def periodicity_features(spark, sf):
     return s.groupBy("device", "day").applyInPandas(_periodicity, "device long, day long, lag double, strength double, rms double, jerk double")
 
 
-FEATURES = 8
 
 
 def mahalanobis(mean: np.ndarray, cov: np.ndarray, x: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -98,17 +97,47 @@ def mahalanobis(mean: np.ndarray, cov: np.ndarray, x: np.ndarray, ridge: float =
 
 @query()
 def mahalanobis_distance(spark, sf):
-    """Distance of each vector from the centre of all: the mean and covariance are one aggregate, the rest is a row each."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(FEATURES)))
-    sums = [F.avg(f"x{k}").alias(f"m{k}") for k in range(FEATURES)] + [F.covar_samp(f"x{a}", f"x{b}").alias(f"c{a}_{b}") for a in range(FEATURES) for b in range(a, FEATURES)]
-    row = e.agg(*sums).first()
-    if row["m0"] is None:
-        return e.select("vec_id", "label", F.lit(0.0).alias("distance"))
-    cov = np.array([[row[f"c{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(FEATURES)] for a in range(FEATURES)])
-    inverse = np.linalg.inv(cov + 1e-6 * np.eye(FEATURES))
-    d = [F.col(f"x{k}") - F.lit(row[f"m{k}"]) for k in range(FEATURES)]
-    square = sum((d[a] * d[b] * F.lit(float(inverse[a, b])) for a in range(FEATURES) for b in range(FEATURES)), F.lit(0.0))
-    return e.select("vec_id", "label", F.round(F.sqrt(F.greatest(F.lit(0.0), square)), 6).alias("distance"))
+    """Distance of each vector from the centre of all, over all of its dimensions."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return distances(e, ["vec_id", "label"], "embedding").withColumn("distance", F.round("distance", 6))
+
+
+def _matrix(column: pd.Series, p: int) -> np.ndarray:
+    """The vectors of that length as rows; others as not-a-number."""
+    return np.stack([np.asarray(v, float) if v is not None and len(v) == p else np.full(p, np.nan) for v in column]) if len(column) else np.zeros((0, p))
+
+
+def distances(rows: DataFrame, keep: list[str], vector: str, ridge: float = 1e-6) -> DataFrame:
+    """``keep`` and the Mahalanobis distance of each vector; null where it is null, of another length or not a number.
+
+    A task sums its vectors and their products, numbers of the matrices meet by place, and a second pass over the rows
+    measures them; the length is the commonest one.
+    """
+    sizes = rows.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("p")).count().orderBy(F.desc("count"), "p").first()
+    p = sizes["p"] if sizes else 0
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((p + 1, p + 1))
+        for frame in frames:
+            x = _matrix(frame[vector], p)
+            x = np.column_stack([np.ones(len(x)), x])[~np.isnan(x).any(1)]
+            total += x.T @ x
+        yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
+
+    found = rows.select(vector).mapInPandas(sums, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
+    total = found["value"].to_numpy().reshape(p + 1, p + 1) if len(found) else np.zeros((p + 1, p + 1))
+    n = max(total[0, 0], 1.0)
+    mean = total[0, 1:] / n
+    cov = (total[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    inverse = np.linalg.inv(cov + ridge * np.eye(p))
+    schema = rows.select(*keep).schema.add("distance", "double")
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            d = _matrix(frame[vector], p) - mean
+            yield frame[keep].assign(distance=np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", d, inverse, d, optimize=True), 0)))
+
+    return rows.select(*keep, vector).mapInPandas(measured, schema).withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
 @query(f"""WITH {DAILY}, z AS (SELECT device, day, (price - avg(price) OVER w) / nullif(stddev_samp(price) OVER w, 0) AS a, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS b FROM d WINDOW w AS (PARTITION BY device ORDER BY day ROWS BETWEEN 42 PRECEDING AND 1 PRECEDING)),

@@ -29,3 +29,18 @@ def test_left_out_weights_equal_plain_fits_at_any_partitioning(spark):
             others = x[x[:, 0] != d]
             assert np.allclose(w, ridge_logistic(others[:, 1:3], others[:, 3]), atol=1e-6)
     assert left_out_weights(table.limit(0)) == {}
+
+
+def test_distances_use_every_dimension(spark):
+    import numpy as np
+    import pytest
+
+    from rillstone.plans.signals import distances, mahalanobis
+
+    x = np.random.default_rng(4).normal(size=(300, 12)) @ np.diag(range(1, 13))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 12)], "k long, v array<double>").repartition(3)
+    got = {r["k"]: r["distance"] for r in distances(rows, ["k"], "v").collect()}
+    want = mahalanobis(x.mean(0), np.cov(x.T), x)
+    assert [got[k] for k in range(300)] == pytest.approx(want.tolist(), rel=1e-6)
+    assert got[900] is None and got[901] is None and got[902] is None
+    assert distances(rows.limit(0), ["k"], "v").count() == 0
