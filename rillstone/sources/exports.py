@@ -61,3 +61,33 @@ def sensor_csv(streams: dict[str, DataFrame], path: str) -> None:
         out = part if out is None else out.unionByName(part)
     if out is not None:
         out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def _stamp(ts: str, offset: str):
+    """Wall time of epoch seconds at an offset of minutes."""
+    return F.date_format(F.timestamp_seconds(F.col(ts) + F.col(offset) * 60), "yyyy-MM-dd HH:mm:ss")
+
+
+def _zone(offset: str):
+    minutes = F.abs(F.col(offset))
+    return F.format_string("UTC%s%02d:%02d", F.when(F.col(offset) < 0, "-").otherwise("+"), F.floor(minutes / 60), minutes % 60)
+
+
+def _table(out: DataFrame, path: str) -> None:
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_sleeps(sleeps: DataFrame, path: str) -> None:
+    """Sleeps (start_ts, end_ts, offset in minutes, is_nap, asleep_min, efficiency as a fraction) as ``read_sleeps`` reads them."""
+    _table(sleeps.select(_stamp("start_ts", "offset").alias("Cycle start time"), _zone("offset").alias("Cycle timezone"), _stamp("start_ts", "offset").alias("Sleep onset"), _stamp("end_ts", "offset").alias("Wake onset"), F.col("is_nap").cast("string").alias("Nap"), F.col("asleep_min").alias("Asleep duration (min)"), (F.col("efficiency") * 100).alias("Sleep efficiency %")), path)
+
+
+def write_workouts(workouts: DataFrame, path: str) -> None:
+    """Workouts (start_ts, end_ts, offset, sport, strain of 100, energy_kcal, avg_hr, max_hr, distance_m, zones) as ``read_workouts`` reads them."""
+    zones = [F.get("zones", F.lit(k)).alias(f"HR Zone {k + 1} %") for k in range(5)]
+    _table(workouts.select(_stamp("start_ts", "offset").alias("Cycle start time"), _zone("offset").alias("Cycle timezone"), _stamp("start_ts", "offset").alias("Workout start time"), _stamp("end_ts", "offset").alias("Workout end time"), F.col("sport").alias("Activity name"), (F.col("strain") * 21 / 100).alias("Activity Strain"), F.col("energy_kcal").alias("Energy burned (cal)"), F.col("avg_hr").alias("Average HR (bpm)"), F.col("max_hr").alias("Max HR (bpm)"), F.col("distance_m").alias("Distance (meters)"), *zones), path)
+
+
+def write_journal(answers: DataFrame, path: str) -> None:
+    """Answers (cycle_start, offset, question, answer, notes) as ``read_journal`` reads them."""
+    _table(answers.select(_stamp("cycle_start", "offset").alias("Cycle start time"), _zone("offset").alias("Cycle timezone"), F.col("question").alias("Question text"), F.when(F.col("answer"), "true").when(~F.col("answer"), "false").alias("Answered yes"), F.col("notes").alias("Notes")), path)
