@@ -77,7 +77,7 @@ FLAT = {
 }
 
 
-@query(f"WITH {EVENTS} SELECT device, seq, tag, e.stream AS stream, ts - e.back AS ts, e.place AS place, e.a AS a, e.b AS b, e.text AS text FROM x")
+@query(f"WITH {EVENTS} SELECT device, seq, tag, e.stream AS stream, ts - e.back AS ts, e.place AS place, e.a AS a, CAST(e.b AS VARCHAR) AS b, e.text AS text FROM x")
 def ring_events(spark, sf):
     """All streams from one scan, their fields in common columns."""
     field = lambda n, t="int": F.variant_get("body", f"$.{n}", t)
@@ -89,7 +89,7 @@ def ring_events(spark, sf):
         if words:
             text = F.when(here, F.concat_ws("|", *map(field, words)) if isinstance(words, tuple) else field(words, "string")).otherwise(text)
     rows = ring.rows_of(ring.decoded_records(records(spark, sf)))
-    return rows.select("device", "seq", "tag", "stream", "ts", "place", a.alias("a"), b.alias("b"), text.alias("text"))
+    return rows.select("device", "seq", "tag", "stream", "ts", "place", a.alias("a"), b.cast("string").alias("b"), text.alias("text"))
 
 
 @query(f"WITH {EVENTS} SELECT tag, CASE WHEN tag IN {tuple(ring.STORED)} THEN 'stored' WHEN tag IN {tuple(ring.KNOWN)} THEN 'known' ELSE 'unknown' END AS kind, count(*) AS records, count(*) FILTER (len(events) > 0) AS decoded, CAST(coalesce(sum(len(events)), 0) AS BIGINT) AS events FROM e GROUP BY ALL")

@@ -40,7 +40,8 @@ def blocks(frames: DataFrame, data: str = "data") -> DataFrame:
     """A row a block of sound frames: the frames' other columns, number, second, block, settings, and both channels' samples."""
     names = [c for c in frames.columns if c != data]
     rows = frames.withColumn("_b", octets(F.col(data)))
-    # Unsound frames give an array that is null: a filter would be moved below the column of bytes and repeat it.
+    # Unsound frames give an array that is null: a filter (also one that an inner explode implies) would be moved below the
+    # column of bytes and repeat it.
     kept = F.when(sound(F.col(data), F.col("_b")), F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     b, start = F.col("_b"), F.col("block") * BLOCK + FIRST
 
@@ -48,7 +49,7 @@ def blocks(frames: DataFrame, data: str = "data") -> DataFrame:
         n, begin = at(b, start), start + HEAD + slot * SLOT
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: signed(little(b, begin + 4 * k, 4), 32).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    rows = rows.select(*names, little(b, NUMBER_AT, 4).alias("number"), little(b, SECOND_AT, 4).alias("second"), "_b", F.explode(kept).alias("block"))
+    rows = rows.select(*names, little(b, NUMBER_AT, 4).alias("number"), little(b, SECOND_AT, 4).alias("second"), "_b", F.explode_outer(kept).alias("block")).filter("block IS NOT NULL")
     settings = F.struct(
         at(b, start + 1).alias("source_a"), little(b, start + 2, 2).alias("drive_a"), at(b, start + 4).alias("source_b"), little(b, start + 5, 2).alias("drive_b"),
         at(b, start + 7).alias("detector_a"), little(b, start + 8, 4).alias("range_a"), signed(little(b, start + 12, 2), 16).alias("offset_a"),
