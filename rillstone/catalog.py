@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("scans", "predicates", "joins", "aggregates", "sequences", "folds", "scalars", "signals", "reports", "vitals", "ledgers", "live", "imports", "nights", "rings", "transfers", "captures", "versions", "windows_of_days", "models", "wearables")
+PLANS = ("scans", "predicates", "joins", "aggregates", "sequences", "folds", "scalars", "signals", "reports", "vitals", "ledgers", "live", "imports", "nights", "rings", "transfers", "captures", "versions", "windows_of_days", "models", "wearables", "bundles")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

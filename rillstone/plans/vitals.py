@@ -163,15 +163,15 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
     frame = pd.DataFrame(out, columns=["pace", "amplitude"])
     frame["best"] = frame["amplitude"] == frame["amplitude"].max()
     frame.insert(0, "device", pdf["device"].iloc[0])
+    frame.insert(1, "day", pdf["day"].iloc[0])
     return frame
 
 
 @query()
 def resonance_sweep(spark, sf):
-    """The response of each device's last day at five breathing paces, and the best of them."""
-    s = stream(spark, sf).withColumn("day", F.expr("t DIV 86400"))
-    s = s.withColumn("last_day", F.max("day").over(W.partitionBy("device"))).filter("day = last_day").select("device", "t", "seq", "bpm")
-    return s.groupBy("device").applyInPandas(_sweep, "device long, pace double, amplitude double, best boolean")
+    """The response of each device and day at five breathing paces, and the best of them."""
+    s = stream(spark, sf).select("device", F.expr("t DIV 86400").alias("day"), "t", "seq", "bpm")
+    return s.groupBy("device", "day").applyInPandas(_sweep, "device long, day long, pace double, amplitude double, best boolean")
 
 
 @query(f"""WITH {STREAM} SELECT device, t // 86400 AS day, count(*) FILTER (value >= 30) AS minutes, round(sum(CASE WHEN value >= 30 THEN (value / 20 - 1) * 70 / 60 ELSE 0 END), 6) AS kcal FROM s GROUP BY ALL""")
