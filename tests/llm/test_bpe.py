@@ -29,8 +29,17 @@ def test_ids_equal_the_library_and_round_trip(encoding):
 def test_query_shape_and_edges(spark, docs_of, edge, encoding):
     rows = bpe.round_trip(docs_of(edge), ["doc_id"]).collect()
     assert len(rows) == len(edge)
-    want = sorted((str(i), len(encoding.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in edge)
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in rows) == want
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    ids = {t: encoding.encode_ordinary(t or "") for _, t in edge}
+    want = sorted((str(i), len(ids[t]), sha(np.array(ids[t], "<u4").tobytes()), sha((t or "").encode())) for i, t in edge)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
+
+
+def test_query_equals_the_library(spark, sf, encoding):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in bpe.op9_byte_bpe(spark, sf).collect():
+        ids = encoding.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert bpe.round_trip(docs_of([]), ["doc_id"]).count() == 0
 
 
