@@ -87,9 +87,9 @@ def packed_channels(spark, sf):
         return F.lpad(F.bin(F.pmod(value.cast("long"), F.lit(1 << w))), w, "0")
 
     text = F.concat(F.lit("101"), F.array_join(F.transform("rows", lambda x: F.concat(*(field(x, c, w) for c, w in enumerate(WIDTHS)))), ""))
-    text = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
-    byte = lambda k: _byte(F.conv(F.substring(text, k * 8 + 1, F.lit(8)), 2, 10).cast("int"))
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), (F.length(text) / 8).cast("int") - 1), byte), ""))
+    # The text of bits is cut in bytes once, the last filled up with zeros: a look into it for each byte would build it anew.
+    eights = F.regexp_extract_all(F.concat(text, F.lit("0" * 7)), F.lit("[01]{8}"), F.lit(0))
+    data = F.unhex(F.array_join(F.transform(eights, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
     found = rows.select("device", "hour", F.size("rows").alias("rounds"), bits.octets(data).alias("b")).select("device", "hour", F.posexplode(bits.channels(F.col("b"), 3, list(WIDTHS), F.col("rounds"))).alias("channel", "values"))
     weighted = F.aggregate(F.transform("values", lambda v, k: v * (k + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
     return found.select("device", "hour", "channel", F.size("values").cast("long").alias("n"), weighted.alias("weighted"))

@@ -152,3 +152,20 @@ def test_pulse_over_buckets(spark):
         want = pulse.rates(np.array([r[1] for r in mine]), np.array([r[3] for r in mine]))
         assert {s: (round(b), round(c, 3)) for s, b, c in want} == {s: v for (d, s), v in got.items() if d == k}
     assert pulse.pulse(df.limit(0), "device", "second", "samples", "seq").count() == 0
+
+
+def test_a_dense_hour_is_packed_in_proportion_to_its_rows(spark, tmp_path):
+    """Each byte used to build the hour's text of bits anew, with work by the square of the rows."""
+    import time
+
+    from oracle import connect, rows
+
+    from rillstone import catalog
+
+    spark.range(6000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id DIV 2) AS ts", "id * 8 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    start = time.monotonic()
+    got = catalog.queries()["packed_channels"](spark, str(tmp_path)).toPandas()
+    assert time.monotonic() - start < 60
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(got) == rows(con.execute(catalog.oracle_sql()["packed_channels"]).df())
