@@ -166,3 +166,18 @@ def test_csv_without_quoted_lines_is_split(spark, tmp_path):
     (tmp_path / "lines").mkdir()
     (tmp_path / "lines" / "a.csv").write_text('a,b\n1,"two\nlines"\n2,"a ""quote"""\n')
     assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "lines")).collect()] == [("1", "two\nlines"), ("2", 'a "quote"')]
+
+
+def test_a_long_waveform_is_decoded_in_proportion_to_its_bytes(spark):
+    """Each sample used to write the whole blob in hexadecimal anew; a last odd byte has no sample, no blob no samples."""
+    import struct
+    import time
+
+    from rillstone.sources import binary
+
+    values = [k % 65536 - 32768 for k in range(200_000)]
+    frame = spark.createDataFrame([(1, bytearray(struct.pack("<200000h", *values) + b"\x07")), (2, bytearray()), (3, None), (4, bytearray(b"\x01"))], "k int, samples binary")
+    start = time.monotonic()
+    got = {r["k"]: r["values"] for r in binary.decoded_samples(frame).collect()}
+    assert time.monotonic() - start < 60
+    assert got == {1: values, 2: [], 3: [], 4: []}
