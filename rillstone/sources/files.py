@@ -68,10 +68,11 @@ def cell(df: DataFrame, *names: str) -> Column:
 
 
 def number(c: Column) -> Column:
-    """A number in either decimal convention; null if it is none."""
+    """A number in either decimal convention, or with an exponent; null if it is none."""
+    power = F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"), F.trim(c).try_cast("double"))
     plain = F.regexp_replace(c, r"[^0-9,.\-]", "")
     point = F.when(plain.contains(",") & ~plain.contains("."), F.replace(plain, F.lit(","), F.lit("."))).otherwise(F.replace(plain, F.lit(","), F.lit("")))
-    return point.try_cast("double")
+    return F.coalesce(power, point.try_cast("double"))
 
 
 def flag(c: Column) -> Column:

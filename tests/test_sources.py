@@ -181,3 +181,14 @@ def test_a_long_waveform_is_decoded_in_proportion_to_its_bytes(spark):
     got = {r["k"]: r["values"] for r in binary.decoded_samples(frame).collect()}
     assert time.monotonic() - start < 60
     assert got == {1: values, 2: [], 3: [], 4: []}
+
+
+def test_numbers_with_an_exponent(spark):
+    """A daily sum above ten million is written as 1.57606E7, which was read as 1.576067."""
+    from pyspark.sql import functions as F
+
+    from rillstone.sources import files
+
+    cells = {"1.57606E7": 15760600.0, "-2e-3": -0.002, " 5E0 ": 5.0, "1,5": 1.5, "1,234.5 ms": 1234.5, "E7 beats": 7.0, "none": None, "": None}
+    frame = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r["c"]: r["n"] for r in frame.select("c", files.number(F.col("c")).alias("n")).collect()} == cells
