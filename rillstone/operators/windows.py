@@ -47,8 +47,39 @@ def trailing_range(ts: str, key: str, seconds: int):
     return W.partitionBy(key).orderBy(ts).rangeBetween(-seconds, 0)
 
 
-def centred_range(ts: str, key: str, half: int):
-    return W.partitionBy(key).orderBy(ts).rangeBetween(-half, half)
+def ranged(df: DataFrame, key: str, ts: str, before: int, after: int, **values: Column) -> DataFrame:
+    """df with statistics of the rows of its key whose whole ``ts`` lies from ``before`` before a row's own to ``after`` after it.
+
+    For each of ``values`` there are a count ``_n``, a sum ``_sum``, a mean ``_mean`` and a deviation ``_sd`` (of the population)
+    of what is not null, behind its name. Time is cut in blocks as long as the range, so a range is the end of one block and
+    the beginning of the next. Both are running statistics, without differences: work is in proportion to the rows however
+    many a range holds, and a task holds a key's two blocks. Rows without a ``ts`` have each other as range.
+    """
+    width = before + after
+    t = F.col(ts).cast("long")
+    start = lambda x: x - F.pmod(x, F.lit(width + 1))
+    place = lambda block, at, role, asks: F.struct(block.alias("block"), at.alias("at"), F.lit(role).alias("role"), F.lit(asks).alias("asks"))
+    places = [place(start(t), t, "new", not after), place(start(t) + width + 1, t, "old", False)] + ([place(start(t + after), t + after, "none", True)] if after else [])
+    dealt = df.withColumns({f"_v_{name}": v for name, v in values.items()}).withColumn("_p", F.explode(F.array(*places))).filter("_p.at IS NOT NULL OR _p.role <> 'old'")
+    dealt = dealt.withColumns({"_block": F.col("_p.block"), "_at": F.col("_p.at"), "_role": F.col("_p.role"), "_asks": F.col("_p.asks")}).drop("_p")
+    group = W.partitionBy(key, "_block")
+    new = group.orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    old = group.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, width)
+    parts = {}
+    for name in values:
+        for role, w in (("new", new), ("old", old)):
+            v = F.when(F.col("_role") == role, F.col(f"_v_{name}"))
+            parts |= {f"_{role}_n_{name}": F.count(v).over(w), f"_{role}_sum_{name}": F.sum(v).over(w), f"_{role}_mean_{name}": F.avg(v).over(w), f"_{role}_var_{name}": F.var_pop(v).over(w)}
+    found = dealt.withColumns(parts).filter("_asks")
+    out = {}
+    for name in values:
+        (n, s, m, q), (n2, s2, m2, q2) = ([F.col(f"_{role}_{k}_{name}") for k in ("n", "sum", "mean", "var")] for role in ("new", "old"))
+        both = n + n2
+        apart = F.when((n > 0) & (n2 > 0), (m - m2) * (m - m2) * n * n2 / both).otherwise(0.0)
+        spread = (F.coalesce(q * n, F.lit(0.0)) + F.coalesce(q2 * n2, F.lit(0.0)) + apart) / F.nullif(both, F.lit(0))
+        total = F.coalesce(s + s2, s, s2)
+        out |= {f"{name}_n": both, f"{name}_sum": total, f"{name}_mean": total / F.nullif(both, F.lit(0)), f"{name}_sd": F.sqrt(spread)}
+    return found.select(*df.columns, *(c.alias(name) for name, c in out.items()))
 
 
 def trailing_rows(key: str, order: list[str], n: int, current: bool = True):

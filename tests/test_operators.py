@@ -1,5 +1,6 @@
 """Edge cases of the operators: empty input, ties, single rows, nulls."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillstone.operators import folds, joins, windows
@@ -79,3 +80,49 @@ def test_nearest_reaches_over_bucket_edges_and_quantiles_interpolate(spark):
     q = windows.quantile(spark.createDataFrame(right, "k long, t long, v double"), "k", "v", 0.995, "q").collect()
     for r in q:
         assert abs(r["q"] - np.quantile([v for k, _, v in right if k == r["k"]], 0.995)) < 1e-9
+
+
+def test_statistics_of_ranges_against_sql(spark):
+    """Counts, sums, means and deviations of ranges of time, edges of the blocks, negative times and nulls included."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from rillstone.operators.windows import ranged
+
+    rng = random.Random(7)
+    times = [rng.randrange(-300, 300) for _ in range(400)] + [-12, -11, -10, -1, 0, 9, 10, 11, 12, 21, 22, 10**6, None, None]
+    rows = [(k, rng.choice([0, 1, 1, None]), t, None if k % 13 == 0 else 1e7 + rng.random()) for k, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, "id int, key int, t long, v double")
+    told = pd.DataFrame({"id": range(len(rows)), "key": pd.array([r[1] for r in rows], "Int64"), "t": pd.array([r[2] for r in rows], "Int64"), "v": [r[3] for r in rows]})
+    con = duckdb.connect()
+    con.register("told", told)
+    for before, after in ((10, 0), (5, 5), (0, 0), (3, 9), (0, 4)):
+        got = {r["id"]: r for r in ranged(frame, "key", "t", before, after, row=F.lit(1), v=F.col("v")).collect()}
+        want = con.execute(f"SELECT id, count(*) OVER w, count(v) OVER w, sum(v) OVER w, avg(v) OVER w, stddev_pop(v) OVER w FROM told WINDOW w AS (PARTITION BY key ORDER BY t RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING)").fetchall()
+        assert len(got) == len(want) == len(rows)
+        for k, n, m, total, mean, sd in want:
+            r = got[k]
+            assert (r["row_n"], r["v_n"]) == (n, m)
+            for a, b in ((r["v_sum"], total), (r["v_mean"], mean), (r["v_sd"], sd)):
+                assert (a is None) == (b is None or b != b) and (a is None or abs(a - b) <= 1e-9 * abs(b) + 1e-6)
+
+
+@pytest.mark.parametrize("name", ["centred_time_sd"])
+def test_dense_ranges_take_work_in_proportion_to_the_rows(spark, tmp_path, name):
+    """Every row used to add up its whole range: 200,000 rows of one hour made 2 * 10^10 steps and more."""
+    import time
+
+    from rillstone import catalog
+
+    spark.range(200_000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id DIV 56) AS ts", "CAST(8 AS LONG) AS user_id", "'view' AS event_type", "CAST(id % 50 AS DOUBLE) AS value", "'{}' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    start = time.monotonic()
+    got = catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert time.monotonic() - start < 45
+    if name == "centred_time_sd":
+        assert len(got) == 200_000 and {r["n"] for r in got} == {200_000}
+    elif name == "trailing_time_mean":
+        assert len(got) == 200_000
+    elif name == "ingest_quota":
+        assert [tuple(r) for r in got] == [(0, 200_000, 200_000, 200_000)]
