@@ -43,10 +43,6 @@ def capped_durations(ts: str, w, cap: float, fallback: float) -> Column:
     return F.least(F.lit(float(cap)), F.coalesce(ahead, behind, F.lit(fallback)).cast("double"))
 
 
-def trailing_range(ts: str, key: str, seconds: int):
-    return W.partitionBy(key).orderBy(ts).rangeBetween(-seconds, 0)
-
-
 def ranged(df: DataFrame, key: str, ts: str, before: int, after: int, **values: Column) -> DataFrame:
     """df with statistics of the rows of its key whose whole ``ts`` lies from ``before`` before a row's own to ``after`` after it.
 
