@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import text
 from ..operators.joins import prioritised
-from ..operators.windows import by
+from ..operators.windows import by, ranged
 from .aggregates import R
 from .bindings import DAILY, SESSIONS, STREAM, daily, sessions, stream, table
 
@@ -37,8 +37,8 @@ def staged_replacement(spark, sf):
 
 @query(f"WITH {STREAM}, q AS (SELECT *, count(*) OVER (PARTITION BY device ORDER BY t RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW) AS batches, sum(length(props) * 100) OVER (PARTITION BY device ORDER BY t RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW) AS bytes FROM s) SELECT device, count(*) AS n, count(*) FILTER (batches > 10) AS over_batches, count(*) FILTER (bytes > 8000) AS over_bytes FROM q GROUP BY device")
 def ingest_quota(spark, sf):
-    w = W.partitionBy("device").orderBy("t").rangeBetween(-14400, 0)
-    q = stream(spark, sf).select("device", F.count("*").over(w).alias("batches"), F.sum(F.length("props") * 100).over(w).alias("bytes"))
+    q = ranged(stream(spark, sf).select("device", "t", (F.length("props") * 100).alias("bytes")), "device", "t", 14400, 0, row=F.lit(1), size=F.col("bytes"))
+    q = q.select("device", F.col("row_n").alias("batches"), F.col("size_sum").alias("bytes"))
     return q.groupBy("device").agg(F.count("*").alias("n"), F.count_if(F.col("batches") > 10).alias("over_batches"), F.count_if(F.col("bytes") > 8000).alias("over_bytes"))
 
 

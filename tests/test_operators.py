@@ -109,7 +109,7 @@ def test_statistics_of_ranges_against_sql(spark):
                 assert (a is None) == (b is None or b != b) and (a is None or abs(a - b) <= 1e-9 * abs(b) + 1e-6)
 
 
-@pytest.mark.parametrize("name", ["centred_time_sd", "trailing_time_mean", "nap_detection"])
+@pytest.mark.parametrize("name", ["centred_time_sd", "trailing_time_mean", "nap_detection", "ingest_quota"])
 def test_dense_ranges_take_work_in_proportion_to_the_rows(spark, tmp_path, name):
     """Every row used to add up its whole range: 200,000 rows of one hour made 2 * 10^10 steps and more."""
     import time
