@@ -54,23 +54,27 @@ def correlations(y: np.ndarray, starts: np.ndarray, stops: np.ndarray, at: np.nd
     slope = np.where(bend > 0, (n * t - i1 * s) / np.where(bend > 0, bend, 1), 0.0)
     level = (s - slope * i1) / n
     whole = square[b] - square[a] - level * s - slope * t
-    out = np.zeros((len(starts), len(at)))
-    for k, lag in enumerate(at):
-        products = _sums(y[:-lag] * y[lag:]) if lag < len(y) else np.zeros(1)
-        m = n - lag
-        ok = m > 0
-        end = np.where(ok, b - lag, a)
-        cross = products[np.minimum(end, len(products) - 1)] - products[np.minimum(a, len(products) - 1)]
-        s1 = one[end] - one[a]
-        t1 = by_place[end] - by_place[a] - a * s1
-        first = np.minimum(a + lag, b)
-        s2 = one[b] - one[first]
-        t2 = by_place[b] - by_place[first] - a * s2
-        j1, j2 = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
-        line = m * level * (level + slope * lag) + slope * (2 * level + slope * lag) * j1 + slope**2 * j2
-        value = cross - (level + slope * lag) * s1 - slope * t1 - level * s2 - slope * (t2 - lag * s2) + line
-        out[:, k] = np.where(ok & (whole > 1e-9 * n), value / np.where(whole > 1e-9 * n, whole, 1), 0.0)
-    return out
+    # A row a lag: the products at each lag, behind the end zeros, and their running sums.
+    lag = np.asarray(at)[:, None]
+    if not len(y) or not lag.size:
+        return np.zeros((len(starts), lag.size))
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([y, np.zeros(lag.max())]), len(y))[lag[:, 0]]
+    products = np.zeros((lag.size, len(y) + 1))
+    np.cumsum(y * ahead, axis=1, out=products[:, 1:])
+    m = n - lag
+    ok = m > 0
+    end = np.where(ok, b - lag, a)
+    cross = np.take_along_axis(products, end, 1) - products[:, a]
+    s1 = one[end] - one[a]
+    t1 = by_place[end] - by_place[a] - a * s1
+    first = np.minimum(a + lag, b)
+    s2 = one[b] - one[first]
+    t2 = by_place[b] - by_place[first] - a * s2
+    j1, j2 = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
+    line = m * level * (level + slope * lag) + slope * (2 * level + slope * lag) * j1 + slope**2 * j2
+    value = cross - (level + slope * lag) * s1 - slope * t1 - level * s2 - slope * (t2 - lag * s2) + line
+    flat = whole <= 1e-9 * n
+    return np.where(ok & ~flat, value / np.where(flat, 1, whole), 0.0).T.copy()
 
 
 def without_comb(x: np.ndarray, rate: int = RATE) -> np.ndarray | None:
@@ -84,24 +88,39 @@ def without_comb(x: np.ndarray, rate: int = RATE) -> np.ndarray | None:
     return x - np.resize(x.reshape(-1, rate).mean(0), len(x))
 
 
+def periods(table: np.ndarray, held: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The period in samples, refined between lags, and its correlation, for each row of ``table``; nan if there is none.
+
+    Of a row the first ``held`` lags count.
+    """
+    n, column = len(table), np.arange(len(at))
+    if not n or not len(at):
+        return np.full(n, np.nan), np.full(n, np.nan)
+    values = np.where(column < held[:, None], table, -np.inf)
+    best = values.max(1)
+    peak = np.zeros(values.shape, bool)
+    mid = values[:, 1:-1]
+    peak[:, 1:-1] = (mid >= NEARLY * best[:, None]) & (mid >= values[:, :-2]) & (mid >= values[:, 2:]) & (column[1:-1] < held[:, None] - 1)
+    k = np.where(peak.any(1), peak.argmax(1), values.argmax(1))
+    row, inner = np.arange(n), (k > 0) & (k < held - 1)
+    before, here, after = (values[row, np.clip(k + d, 0, len(at) - 1)] for d in (-1, 0, 1))
+    before, after = np.where(inner, before, 0.0), np.where(inner, after, 0.0)
+    bend = np.where(inner, before - 2 * here + after, 0.0)
+    lag = at[k] + np.where(bend < 0, np.clip(0.5 * (before - after) / np.where(bend < 0, bend, 1.0), -1, 1), 0.0)
+    lag = np.clip(lag, at[0], at[np.clip(held - 1, 0, len(at) - 1)])
+    found = (best >= LEAST) & (held > 0)
+    return np.where(found, lag, np.nan), np.where(found, here, np.nan)
+
+
 def period(values: np.ndarray, at: np.ndarray) -> tuple[float, float] | None:
     """The period in samples, refined between lags, and its correlation; None if there is none."""
-    best = values.max()
-    if best < LEAST:
-        return None
-    inner = np.flatnonzero((values[1:-1] >= NEARLY * best) & (values[1:-1] >= values[:-2]) & (values[1:-1] >= values[2:])) + 1
-    k = int(inner[0]) if len(inner) else int(values.argmax())
-    lag = float(at[k])
-    if 0 < k < len(at) - 1:
-        bend = values[k - 1] - 2 * values[k] + values[k + 1]
-        if bend < 0:
-            lag += float(np.clip(0.5 * (values[k - 1] - values[k + 1]) / bend, -1, 1))
-    return float(np.clip(lag, at[0], at[-1])), float(values[k])
+    lag, value = periods(values[None], np.array([len(at)]), at)
+    return None if np.isnan(lag[0]) else (float(lag[0]), float(value[0]))
 
 
 def rates(seconds: np.ndarray, samples: np.ndarray, rate: int = RATE, half: int = HALF) -> list[tuple[int, float, float]]:
     """(second, rate a minute, correlation) of rising seconds with a row of samples each; runs shorter than three give none."""
-    out, at = [], lags(rate)
+    found, at = [], lags(rate)
     cuts = np.flatnonzero(np.diff(seconds) != 1) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seconds)], strict=True):
         if b - a < 3:
@@ -110,14 +129,16 @@ def rates(seconds: np.ndarray, samples: np.ndarray, rate: int = RATE, half: int
         starts, stops = np.maximum(k - half, 0) * rate, np.minimum(k + half + 1, b - a) * rate
         table = correlations(y, starts, stops, at)
         comb = _combed(samples[a:b], rate, half)
-        for w in range(b - a):
-            values = table[w]
-            if comb[w] and (clean := without_comb(y[starts[w] : stops[w]].astype(float), rate)) is not None:
-                values = correlations(clean, np.array([0]), np.array([len(clean)]), at)[0]
-            found = period(values[at < stops[w] - starts[w] - 1], at[at < stops[w] - starts[w] - 1])
-            if found:
-                out.append((int(seconds[a + w]), rate * 60 / found[0], found[1]))
-    return out
+        for w in np.flatnonzero(comb).tolist():
+            if (clean := without_comb(y[starts[w] : stops[w]].astype(float), rate)) is not None:
+                table[w] = correlations(clean, np.array([0]), np.array([len(clean)]), at)[0]
+        found.append((seconds[a:b], table, np.searchsorted(at, stops - starts - 1)))
+    if not found:
+        return []
+    second, table, held = (np.concatenate(x) for x in zip(*found, strict=True))
+    lag, value = periods(table, held, at)
+    ok = ~np.isnan(lag)
+    return list(zip(second[ok].tolist(), (rate * 60 / lag[ok]).tolist(), value[ok].tolist(), strict=True))
 
 
 def _combed(samples: np.ndarray, rate: int, half: int) -> np.ndarray:
@@ -134,8 +155,9 @@ def _combed(samples: np.ndarray, rate: int, half: int) -> np.ndarray:
 
 def pulse(rows: DataFrame, key: str, ts: str, samples: str, order: str, rate: int = RATE, half: int = HALF, bucket: int = BUCKET) -> DataFrame:
     """(key, ts, bpm, confidence): a row for each second of each key that has a period."""
-    last = Window.partitionBy(key, ts).orderBy(F.desc(order))
-    one = rows.filter(F.size(samples) == rate).withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(key, F.col(ts).cast("long").alias(ts), F.col(samples).alias("_x"))
+    # Whole seconds come first in the order; a filter before it would be moved below what makes the samples, and make them twice.
+    last = Window.partitionBy(key, ts).orderBy(F.desc("_whole"), F.desc(order))
+    one = rows.withColumn("_whole", F.size(samples) == rate).withColumn("_n", F.row_number().over(last)).filter("_n = 1 AND _whole").select(key, F.col(ts).cast("long").alias(ts), F.col(samples).alias("_x"))
     # A window needs its neighbours, and the run's bounds within them: half a window more tells whether a run is too short.
     reach = half + 2
     near = F.array_distinct(F.array(*(F.floor((F.col(ts) + d) / bucket) for d in (-reach, 0, reach))))

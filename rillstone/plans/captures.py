@@ -101,7 +101,9 @@ def waveforms(spark, sf) -> DataFrame:
     second = F.col("i") + F.floor(F.col("i") / 97) * 5
     hertz = (40 + F.floor(F.col("i") / 97) * 17 % 120) / 60
     sample = lambda k: F.round(2000 * F.sin(2 * math.pi * hertz * (F.col("i") + k / 24)) + 30 * F.col("i") + (F.col("seq") * 7 + k * 13) % 200).cast("int")
-    return rows.select("device", "seq", second.cast("long").alias("second"), F.transform(F.sequence(F.lit(0), F.lit(23)), sample).alias("samples"))
+    # Rows are numbered in a task a device; the samples are made where the seconds are dealt to all tasks.
+    rows = rows.select("device", "seq", "i", second.cast("long").alias("second")).repartition("device", "second")
+    return rows.select("device", "seq", "second", F.transform(F.sequence(F.lit(0), F.lit(23)), sample).alias("samples"))
 
 
 @query()

@@ -169,3 +169,12 @@ def test_a_dense_hour_is_packed_in_proportion_to_its_rows(spark, tmp_path):
     con = connect("/root/testdata/sf0.001")
     con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert rows(got) == rows(con.execute(catalog.oracle_sql()["packed_channels"]).df())
+
+
+def test_samples_are_made_once_and_where_seconds_are_dealt(spark, sf):
+    """A filter on the samples was moved into the stage with a task a device, and made them there a second time."""
+    from rillstone import catalog
+
+    plan = catalog.queries()["pulse_rates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SIN(") == 1
+    assert plan.index("SIN(") < plan.index("RepartitionByExpression [device")
