@@ -6,11 +6,14 @@ reader of ``sources`` makes of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..catalog import query
 from ..session import shared_folder
@@ -224,15 +227,23 @@ def file_batches(spark, sf):
     return good.groupBy("stream", F.col("batchId").alias("batch")).agg(F.count("*").alias("n"), F.sum(F.col("key")["id"].cast("long")).alias("ids"))
 
 
-def _per_row(rows: DataFrame, make: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
-    """Rows that ``make`` gives for each row, in Arrow batches."""
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+#: Rows of a batch that goes back to the JVM.
+OUT = 16_384
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([x for r in frame.to_dict("records") for x in make(r)], columns=names)
 
-    return rows.mapInPandas(run, schema)
+def _per_row(rows: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows that ``make`` gives for each row, in Arrow batches: a worker holds one row as Python values, and OUT of its results."""
+    types = rows.sparkSession.createDataFrame([], schema).schema
+    kinds = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = iter(make(batch.slice(k, 1).to_pylist()[0]))
+                while part := list(islice(found, OUT)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
+
+    return rows.mapInArrow(run, types)
 
 
 def _day_rows(spark, sf) -> DataFrame:
@@ -249,7 +260,7 @@ def packed_rows(spark, sf):
         return [(r["device"], r["day"], binary.pack_rows([(x["t"], x["value"], x["seq"]) for x in r["rows"]]))]
 
     def unpack(r):
-        return [(r["device"], r["day"], *x) for x in binary.unpack_rows(r["blob"])]
+        return ((r["device"], r["day"], *x) for x in binary.iter_rows(r["blob"]))
 
     blobs = _per_row(_day_rows(spark, sf), pack, "device long, day long, blob binary")
     return _per_row(blobs, unpack, "device long, day long, t long, value double, seq int").withColumn("value", R("value", 4))
@@ -265,7 +276,7 @@ def framed_blobs(spark, sf):
         return [(r["device"], r["day"], binary.pack_frames([data[k : k + 7] for k in range(0, len(data), 7)]))]
 
     def unpack(r):
-        return [(r["device"], r["day"], k, p.decode()) for k, p in enumerate(binary.reassembled(binary.unpack_frames(r["blob"])))]
+        return ((r["device"], r["day"], k, p.decode()) for k, p in enumerate(binary.reassembled(binary.unpack_frames(r["blob"]))))
 
     blobs = _per_row(_day_rows(spark, sf), pack, "device long, day long, blob binary")
     return _per_row(blobs, unpack, "device long, day long, place long, payload string")

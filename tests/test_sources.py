@@ -192,3 +192,21 @@ def test_numbers_with_an_exponent(spark):
     cells = {"1.57606E7": 15760600.0, "-2e-3": -0.002, " 5E0 ": 5.0, "1,5": 1.5, "1,234.5 ms": 1234.5, "E7 beats": 7.0, "none": None, "": None}
     frame = spark.createDataFrame([(c,) for c in cells], "c string")
     assert {r["c"]: r["n"] for r in frame.select("c", files.number(F.col("c")).alias("n")).collect()} == cells
+
+
+def test_results_of_a_large_row_are_not_held_whole(spark):
+    """All results of a batch's rows were gathered in a list and a frame before the first went back."""
+    from rillstone.plans import imports
+
+    def many(r):
+        for k in range(r["n"]):
+            yield k, float(k), int(open("/proc/self/statm").read().split()[1]) // 256 if k % 50_000 == 0 else None
+
+    frame = spark.createDataFrame([(1_000_000,), (0,), (3,)], "n long").coalesce(1)
+    rows = imports._per_row(frame, many, "k long, v double, mb long")
+    got = rows.agg({"k": "count", "v": "sum"}).first()
+    assert (got["count(k)"], got["sum(v)"]) == (1_000_003, 1_000_000 * 999_999 / 2 + 3)
+    low, high = rows.selectExpr("min(mb)", "max(mb)").first()
+    assert high - low < 60
+    blob = binary.pack_rows([(k, 0.5, k) for k in range(5)])
+    assert next(iter(binary.iter_rows(blob))) == (0, 0.5, 0) and len(binary.unpack_rows(blob)) == 5 and binary.unpack_rows(b"RSB1\x05\x00\x00\x00") == []
