@@ -4,8 +4,8 @@ Each stage is (name, function of (spark, docs, sf_dir)); its result is written a
 stage's documents. All but the last return the columns of documents:
 
 1. ``quality_rules`` drops documents that fail their own rules or whose host is rejected;
-2. ``near_duplicates`` keeps one document of each component of near copies (five-word shingles, similarity 0.8), that with
-   the smallest id; the method named, SimHash, cannot reach that similarity (README);
+2. ``near_duplicates`` keeps one document of each component of near copies, that with the smallest id: fingerprints of
+   five-word shingles within two bits (SimHash, multi-index hashing), and beyond their reach sets of similarity 0.8;
 3. ``secret_scans`` masks secrets in the text (and sets n_chars anew); every document stays;
 4. ``mixing`` repeats or drops documents by rates that bring expected domain tokens to their target weights;
 5. ``byte_bpe`` encodes and decodes each text: doc_id, n_tokens and the digests of the ids and the decoded bytes.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.llm import bpe, mixing, quality, secrets, simhash
-from rillstone.llm.common import shared_folder
+from rillstone.llm.common import shared_folder, short_batches
 
 STAGES = [
     ("quality_rules", quality.keep_good),
@@ -36,8 +36,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents; what lies between them is in the folder that spark.checkpoint.dir names."""
     folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    with short_batches(spark):
+        for name, stage in STAGES:
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = to
 
 
+#: Rows of whole texts that go to a Python worker at once, on both sides outside the heap.
+BATCH = 1000
+
+
+@contextmanager
+def short_batches(spark: SparkSession):
+    """Within it, Arrow batches have BATCH rows at most; for work that is done inside, not for what a query leaves to do."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     column = batch.column(text)

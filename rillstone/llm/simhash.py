@@ -69,8 +69,12 @@ def shingled(texts: list[bytes], size: int, seed: int = SEED) -> tuple[np.ndarra
 
 def fingerprints_of(texts: list[bytes], size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit fingerprint of each text, as unsigned integers."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes, some, offset, each = shingled(texts, size, seed)
+    return majorities(*shingled(texts, size, seed))
+
+
+def majorities(hashes: np.ndarray, some: np.ndarray, offset: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from what ``shingled`` gives: the bitwise majority of its hashes."""
+    out = np.zeros(len(some), np.uint64)
     if not len(hashes):
         return out
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -156,8 +160,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bands_of(texts: list[bytes]) -> np.ndarray:
     """BANDS keys of each text: a hash of the band's number and of ROWS least values of its five-word shingles."""
-    hashes, some, offset, _ = shingled(texts, STAGE_SHINGLE)
-    out = np.zeros((len(texts), BANDS), np.uint64)
+    return least_keys(*shingled(texts, STAGE_SHINGLE)[:3])
+
+
+def least_keys(hashes: np.ndarray, some: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(some), BANDS), np.uint64)
     for k, factors in enumerate(FACTORS):
         key = np.full(len(offset), k, np.uint64)
         for factor in factors if len(offset) else ():
@@ -169,17 +176,18 @@ def bands_of(texts: list[bytes]) -> np.ndarray:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """node (a hash of the text), least (its smallest doc_id) and its band keys, for each distinct text."""
+    """node (a hash of the text), least (its smallest doc_id), its fingerprint and its band keys, for each distinct text."""
     source = docs.select("doc_id", "text", _node().alias("node"))
 
     def run(batches):
         for batch in chunks(batches):
-            keys = bands_of(texts_of(batch))
+            found = shingled(texts_of(batch), STAGE_SHINGLE)
+            fp, keys = majorities(*found), least_keys(*found[:3])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), lists], names=["node", "doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(fp.view(np.int64)), lists], names=["node", "doc_id", "fp", "keys"])
 
-    rows = source.mapInArrow(run, extended(source.select("node", "doc_id").schema, "keys array<long>"))
-    return cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    rows = source.mapInArrow(run, extended(source.select("node", "doc_id").schema, "fp long, keys array<long>"))
+    return cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -294,8 +302,20 @@ def group_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.unionByName(similar(met.select(*_pair("node_wide", "node_short")), sets))
 
 
+def print_edges(prints: DataFrame) -> DataFrame:
+    """Edges (u, v) of texts (node, fp) that connect what fingerprints within two bits connect: the dealt method, ``links``.
+
+    Each text is tied to the smallest of its fingerprint, and those of linked fingerprints to each other.
+    """
+    held = table(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    side = lambda x: held.select(F.col("fp").alias(x), F.col("head").alias(f"_head_{x}"))
+    apart = links(held.select("fp")).join(side("u"), "u").join(side("v"), "v").select(*_pair("_head_u", "_head_v"))
+    return prints.select("node", "fp").join(held, "fp").filter("node <> head").select(*_pair("node", "head")).unionByName(apart)
+
+
 def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """node, root of texts that are linked: components of all pairs that share a band and are similar on whole texts.
+    """node, root of texts that are linked: components of the texts whose fingerprints link, and of all pairs that share a
+    band and are similar on whole texts.
 
     Of keys with ``bucket`` texts at most all pairs are compared. Texts that larger keys tie together form groups, whose
     pairs ``group_edges`` settles without meeting one by one; those pairs are not compared again.
@@ -315,7 +335,7 @@ def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> Data
         members = members.withColumn("grp", F.lit(None).cast("long"))
     other = members.select("key", F.col("node").alias("v"), F.col("grp").alias("of_v"))
     pairs = members.join(other, "key").filter("node > v AND NOT coalesce(grp = of_v, false)").select(F.col("node").alias("u"), "v")
-    found = similar(pairs, sets)
+    found = print_edges(prints).unionByName(similar(pairs, sets))
     roots = cut(components(found if edges is None else edges.unionByName(found)))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -323,10 +343,11 @@ def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> Data
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays; of equal ids, one row.
 
-    Texts link when the sets of their five-word shingles (a shorter text is one shingle) have a Jaccard similarity of
-    0.8 or more, compared exactly on whole texts (by 64-bit hashes). Candidates share one of BANDS keys of ROWS least
-    values: of pairs at 0.8 one in 190,000 shares none, above that fewer. SimHash cannot find them: at 0.8 about ten bits
-    of 64 differ, and up to twenty.
+    Texts link when the fingerprints of their five-word shingles (a shorter text is one shingle) differ in two bits or
+    fewer, by the multi-index hashing of this module. That is a similarity of about 0.99; at 0.8 about ten bits of 64
+    differ, and up to twenty. So texts link as well when the sets of those shingles have a Jaccard similarity of 0.8 or
+    more, compared exactly on whole texts (by 64-bit hashes). Their candidates share one of BANDS keys of ROWS least
+    values: of pairs at 0.8 one in 190,000 shares none, above that fewer.
     Rows without a doc_id stay only if no row of their component has one, and then one of them.
     """
     prints = banded(docs)

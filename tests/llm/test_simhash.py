@@ -167,3 +167,27 @@ def test_sketches_rule_out_no_similar_pair(spark, docs_of):
     pairs = [(node[a], node[b]) for a, b in combinations(texts, 2)]
     got = simhash.similar(spark.createDataFrame(pairs, "u long, v long"), simhash.shingle_sets(docs, nodes.select("node").distinct())).collect()
     assert {(r["u"], r["v"]) for r in got} == {(node[a], node[b]) for a, b in combinations(texts, 2) if jaccard(a, b) >= 0.8}
+
+
+def test_the_stage_links_by_fingerprints(spark, docs_of):
+    """A text that is mostly one repeated line: its fingerprint is that of the line, the sets of shingles are not similar."""
+    line = "one two three four five six seven eight nine ten eleven "
+    rows = [(1, line * 400), (2, line * 400 + " ".join(f"w{k}" for k in range(60))), (3, "another text with words of its own that nothing else has here"), (4, None), (5, " \n")]
+    fp = simhash.fingerprints_of([r[1].encode() if r[1] else b"" for r in rows], simhash.STAGE_SHINGLE)
+    assert int(fp[0] ^ fp[1]).bit_count() <= 2 and fp[3] == fp[4] == 0
+    edges = simhash.print_edges(simhash.banded(docs_of(rows))).collect()
+    assert len(edges) == 2 and len({x for e in edges for x in e}) == 4
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark, docs_of(rows), "").collect()) == [1, 3, 4]
+
+
+def test_short_batches_end_with_their_block(spark):
+    import pyarrow as pa
+
+    from rillstone.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.short_batches(spark):
+        sizes = spark.range(0, 2500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long").collect()
+        assert max(r["id"] for r in sizes) == common.BATCH
+    assert spark.conf.get(name) == before
