@@ -1,6 +1,6 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, mixing, and encoding, in that order.
 
-Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
+Each stage is (name, function of (spark, docs, sf_dir)); it writes its result as Parquet, and that is read as the next
 stage's documents. All but the last return the columns of documents:
 
 1. ``quality_rules`` drops documents that fail their own rules or whose host is rejected;
@@ -17,28 +17,39 @@ computation on a small table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.llm import bpe, mixing, quality, secrets, simhash
-from rillstone.llm.common import shared_folder, short_batches
+from rillstone.llm.common import short_batches, table
+
+
+def written(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with its result as a table, so that all its Python work is done here, in short Arrow batches, whoever calls it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with short_batches(spark):
+            return table(stage(spark, docs, sf_dir))
+
+    return run
+
 
 STAGES = [
-    ("quality_rules", quality.keep_good),
-    ("near_duplicates", simhash.keep_one),
-    ("secret_scans", secrets.mask_secrets),
-    ("mixing", mixing.mix_kept),
-    ("byte_bpe", bpe.encode_kept),
+    ("quality_rules", written(quality.keep_good)),
+    ("near_duplicates", written(simhash.keep_one)),
+    ("secret_scans", written(secrets.mask_secrets)),
+    ("mixing", written(mixing.mix_kept)),
+    ("byte_bpe", written(bpe.encode_kept)),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents; what lies between them is in the folder that spark.checkpoint.dir names."""
-    folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with short_batches(spark):
-        for name, stage in STAGES:
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -90,20 +90,25 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = to
 
 
-#: Rows of whole texts that go to a Python worker at once, on both sides outside the heap.
-BATCH = 1000
+#: Rows and bytes of whole texts that go to a Python worker at once, on both sides outside the heap; one longer text goes alone.
+BATCH, BATCH_BYTES = 1000, 2 << 20
 
 
 @contextmanager
 def short_batches(spark: SparkSession):
-    """Within it, Arrow batches have BATCH rows at most; for work that is done inside, not for what a query leaves to do."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    """Within it, Arrow batches have BATCH rows at most and end with the row that fills BATCH_BYTES.
+
+    That holds for work that is done inside, not for what a query leaves to do.
+    """
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = {name: spark.conf.get(name) for name in (rows, size)}
+    spark.conf.set(rows, str(min(int(before[rows]), BATCH) if int(before[rows]) > 0 else BATCH))
+    spark.conf.set(size, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

@@ -1,6 +1,7 @@
 import corpus_pipeline
+import pyarrow as pa
 
-from rillstone.llm import bpe, quality, secrets
+from rillstone.llm import bpe, common, quality, secrets
 
 
 def test_stages_run_in_order_and_keep_columns(spark, sf, tmp_path):
@@ -34,3 +35,24 @@ def test_each_stage_takes_edge_cases(spark, sf, docs_of, edge):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def test_stages_leave_no_python_to_their_caller(spark, sf, docs_of, edge):
+    # The caller's session has long batches; what a stage left to do would run in those.
+    for name, stage in corpus_pipeline.STAGES:
+        assert "MapInArrow" not in stage(spark, docs_of(edge), sf)._jdf.queryExecution().toString(), name
+
+
+def test_a_stage_works_in_short_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    text = "if(id < 2500, 'short', repeat('long text ', 20000))"
+    docs = spark.range(0, 2540, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage = corpus_pipeline.written(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long, size long"))
+    found = stage(spark, docs, "").collect()
+    assert sum(r["n"] for r in found) == 2540 and max(r["n"] for r in found) == common.BATCH
+    assert max(r["size"] for r in found) < common.BATCH_BYTES + 2 * 200_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
