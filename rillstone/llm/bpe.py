@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunks, extended, read_table, texts_of
 
 #: Pre-token slices whose ids a worker remembers; beyond it the cache starts anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 100_000
 ROW = 512
 
 # Classes of code points.
@@ -340,10 +340,14 @@ def round_trip(docs: DataFrame, keep: list[str], text: str = "text", path: str |
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in chunks(batches, text):
-            ids = [x for x, _ in vocab.encode(texts_of(batch, text))]
-            hexed = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(x) // 4 for x in ids]), hexed(ids), hexed(map(vocab.decode, ids))], names=schema.names)
+        try:
+            for batch in chunks(batches, text):
+                ids = [x for x, _ in vocab.encode(texts_of(batch, text))]
+                hexed = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(x) // 4 for x in ids]), hexed(ids), hexed(map(vocab.decode, ids))], names=schema.names)
+        finally:  # the worker goes on to other tasks, maybe of other queries
+            vocab.cache.clear()
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -53,3 +53,15 @@ def test_cache_starts_anew(monkeypatch):
     vocab = bpe.vocabulary()
     for t in ("one two three four", "five six seven", "one two"):
         assert vocab.decode(vocab.encode([t.encode()])[0][0]) == t.encode()
+
+
+def test_a_worker_keeps_no_slices_after_a_task(spark, docs_of):
+    import pyarrow as pa
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(v.cache) for v in bpe._OPEN.values()]}, pa.schema([("n", pa.int64())]))
+
+    assert bpe.round_trip(docs_of([(k, f"some words number{k} here") for k in range(40)]), ["doc_id"]).count() == 40
+    assert bpe.round_trip(docs_of([(k, f"some words number{k} here") for k in range(40)]), ["doc_id"]).agg({"n_tokens": "sum"}).first()[0] > 0
+    assert not any(r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").collect())
