@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import chunks, cut, extended, read_table, table, texts_of
+from .common import chunks, cut, deleted, extended, read_table, table, texts_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Distinct fingerprints that a bucket may hold and still be joined pair by pair.
@@ -337,6 +337,8 @@ def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> Data
     pairs = members.join(other, "key").filter("node > v AND NOT coalesce(grp = of_v, false)").select(F.col("node").alias("u"), "v")
     found = print_edges(prints).unionByName(similar(pairs, sets))
     roots = cut(components(found if edges is None else edges.unionByName(found)))
+    deleted(met)
+    deleted(sets)
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import corpus_pipeline
 import pyarrow as pa
 
@@ -56,3 +58,31 @@ def test_a_stage_works_in_short_batches(spark):
     assert sum(r["n"] for r in found) == 2540 and max(r["n"] for r in found) == common.BATCH
     assert max(r["size"] for r in found) < common.BATCH_BYTES + 2 * 200_000
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def _tables(spark):
+    return set(Path(spark.conf.get("spark.checkpoint.dir")).glob("table-*"))
+
+
+def _bytes(folders):
+    return sum(f.stat().st_size for folder in folders for f in folder.rglob("*.parquet"))
+
+
+def test_stages_that_end_without_python_do_not_store_texts(spark, tmp_path):
+    hexadecimal = "concat_ws(' ', transform(sequence(1, 100), k -> md5(concat({0}, '-', k))))"
+    text = f"if(id % 10 = 1, concat({hexadecimal.format('id - 1')}, ' end'), {hexadecimal.format('id')})"  # one in ten is a near copy
+    spark.range(0, 600, 1, 2).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "'s' AS source", "3300L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, rows in (("near_duplicates", 540), ("mixing", None)):
+        before = _tables(spark)
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert rows is None or out.count() == rows
+        assert _bytes(_tables(spark) - before) < 0.05 * _bytes([tmp_path / "documents.parquet"]), name
+
+
+def test_run_deletes_the_tables_between_its_stages(spark, sf):
+    before = _tables(spark)
+    out = corpus_pipeline.run(spark, sf)
+    left = [folder for folder in _tables(spark) - before if "text" in spark.read.parquet(str(folder)).columns]
+    assert not left and out.count() > 100
