@@ -66,6 +66,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The rows, hinted to be joined by shuffle and merge, so that neither side of their next join is broadcast.
+
+    Spark sizes a side by what it is made of: it counts neither the rows that an explode adds nor what Parquet's encodings
+    save, so that it would gather many times its broadcast threshold in the driver.
+    """
+    return df.hint("merge")
+
+
 def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``key``; about as many come from each partition as are needed."""
     n = df.count()

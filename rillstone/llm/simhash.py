@@ -13,6 +13,8 @@ small, miss no link, and linking each to its smallest is exact for components.
 
 Components come from alternating star contraction, with reliable checkpoints between rounds.
 
+Rows that come from an explode meet others by shuffle and merge (``merged``): they are many times what Spark sizes them.
+
 Defined results: null and empty texts have fingerprint zero; rows of equal ids each get a row; a null id takes part and
 is never the smallest (a component of null ids alone has a null id); an empty table gives an empty result.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import chunks, cut, deleted, extended, read_table, table, texts_of
+from .common import chunks, cut, deleted, extended, merged, read_table, table, texts_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Distinct fingerprints that a bucket may hold and still be joined pair by pair.
@@ -108,15 +110,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     high, low = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(HALF))
     held = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("val")), F.struct(F.lit(1).alias("seg"), low.alias("val")))).alias("k")).select("k.seg", "k.val", F.col("fp").alias("other"))
     sizes = held.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    small = held.join(sizes.filter(F.col("n") <= bucket).select("seg", "val"), ["seg", "val"])
+    small = merged(held).join(sizes.filter(F.col("n") <= bucket).select("seg", "val"), ["seg", "val"])
     large = sizes.filter(F.col("n") > bucket).select("seg", "val", F.lit(None).cast("long").alias("other"))
     probes = prints.select("fp", F.explode(F.concat(F.transform(_ball(high, 32), lambda x: F.struct(F.lit(0).alias("seg"), x.alias("val"))), F.array(F.struct(F.lit(1).alias("seg"), low.alias("val"))))).alias("k")).select("fp", "k.seg", "k.val")
     near = F.bit_count(fp.bitwiseXOR(F.col("other"))) <= distance
-    met = cut(probes.join(small.unionByName(large), ["seg", "val"]).filter(F.col("other").isNull() | ((fp > F.col("other")) & near)).select("fp", "other").distinct())
+    met = cut(merged(probes).join(small.unionByName(large), ["seg", "val"]).filter(F.col("other").isNull() | ((fp > F.col("other")) & near)).select("fp", "other").distinct())
     direct = met.filter(F.col("other").isNotNull()).select(fp.alias("u"), F.col("other").alias("v"))
     balls = met.filter(F.col("other").isNull()).select("fp", F.explode(_ball(fp, 64)).alias("center"))
     least = balls.groupBy("center").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter(F.col("n") > 1).select("center", "v")
-    stars = balls.join(least, "center").filter(fp > F.col("v")).select(fp.alias("u"), "v")
+    stars = merged(balls).join(least, "center").filter(fp > F.col("v")).select(fp.alias("u"), "v")
     return direct.unionByName(stars).distinct()
 
 
@@ -243,7 +245,7 @@ def _pair(x, y):
 
 def _dealt(once: DataFrame) -> DataFrame:
     """Rows that are kept once a group, for each part of the group."""
-    return once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return merged(once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
 
 
 def apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,7 +300,7 @@ def group_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (placed.filter(role).select("grp", "e", *(F.col(c).alias(f"{c}_{role}") for c in ("node", "f", "left", "star"))) for role in ("wide", "short"))
     above = F.struct("f_wide", "node_wide") > F.struct("f_short", "node_short")
     enough = F.least("left_wide", "left_short") >= share(F.col("f_wide"), F.col("f_short"))
-    met = x.join(y, ["grp", "e"]).filter(above & enough & (F.col("star_wide") != F.col("star_short")))
+    met = merged(x).join(y, ["grp", "e"]).filter(above & enough & (F.col("star_wide") != F.col("star_short")))
     return edges.unionByName(similar(met.select(*_pair("node_wide", "node_short")), sets))
 
 
@@ -322,7 +324,7 @@ def near_roots(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> Data
     """
     keyed = prints.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    met = table(keyed.join(sizes, "key"))
+    met = table(merged(keyed).join(sizes, "key"))
     sets = shingle_sets(docs, prints.select("node", "least").join(met.select("node").distinct(), "node", "left_semi"))
     edges, large = None, met.filter(F.col("n") > bucket)
     members = met.filter(F.col("n") <= bucket).select("key", "node")

@@ -191,3 +191,46 @@ def test_short_batches_end_with_their_block(spark):
         sizes = spark.range(0, 2500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long").collect()
         assert max(r["id"] for r in sizes) == common.BATCH
     assert spark.conf.get(name) == before
+
+
+def _broadcast_explodes(plan):
+    """The lines of an executed plan that explode rows for a broadcast, without an exchange in between."""
+    found, inside = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        while inside and inside[-1][0] >= depth:
+            inside.pop()
+        if "Exchange" in line and "ReusedExchange" not in line:
+            inside.append((depth, "BroadcastExchange" in line))
+        elif "Generate explode" in line and inside and inside[-1][1]:
+            found.append(line.strip())
+    return found
+
+
+def test_exploded_rows_are_not_broadcast(spark, docs_of, monkeypatch):
+    """Spark sizes them by their input: at 0.6 GB the balls of all fingerprints, 1,275 MB, went through the driver."""
+    plans = []
+
+    def seen(write):
+        def run(df, *rest):
+            out = write(df, *rest)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        return run
+
+    for name in ("cut", "table"):
+        monkeypatch.setattr(simhash, name, seen(getattr(simhash, name)))
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    rows = []
+    for _ in range(3):
+        base = draw.choices(words, k=120)
+        rows += [(len(rows) + k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(30)]
+    docs = docs_of(rows)
+    prints = simhash.banded(docs)
+    simhash.near_roots(docs, prints, 4)
+    star_links = simhash.links(simhash.cut(prints.select("fp").distinct()), bucket=1)
+    plans.append(star_links._jdf.queryExecution().executedPlan().toString())
+    assert star_links.count() > 0 and any("BroadcastExchange" in p for p in plans) and any("Generate explode" in p for p in plans)
+    assert [x for p in plans for x in _broadcast_explodes(p)] == []
